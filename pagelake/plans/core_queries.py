@@ -1 +1,28 @@
 """Registered queries of the core, and the SQL that states the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelake.functions import urls
+from pagelake.functions.text import digest_key
+from pagelake.operators import incremental
+from pagelake.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = incremental.latest_state(
+        table(spark, sf_dir, "url_state", "url", "saved_at", "content_hash", "run_id"), table(spark, sf_dir, "sync_runs", "run_id", "status")
+    )
+    records = table(spark, sf_dir, "content_records", "page_id", "content_hash", "canonical_url")
+    key, row_hash = urls.normalize(F.col("canonical_url")), digest_key(F.col("content_hash"))
+    return incremental.new_or_changed(records, state, "page_id", key, row_hash).select("page_id").distinct()
+
+
+QUERIES: dict[str, Query] = {"p7_found": p7_found}
+SQL: dict[str, str] = {}
