@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import boilerplate, language, line_repeats, markup, template_residue
+from pagelake.llm import boilerplate, contamination, language, line_repeats, markup, sentences, template_residue
 from pagelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,4 +33,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.markup_kinds(table(spark, sf_dir, "markdown_documents", "page_id", "markdown"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_offsets(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p8_found, p10_found)}
