@@ -36,6 +36,7 @@ _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
 _CHUNK = re.compile(r"\S+")
 _MARKUP = re.compile(r"\]\([^)\s]*\)|</?[A-Za-z][^<>\n]*>|&[a-z]+;")
+_PASSAGE = "doc_id long, item_id long, run long, altered long, first long, last long, by_character boolean"
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -77,10 +78,14 @@ def least_intact(words: int) -> int:
     return max(1, run - SHINGLE + 1 - SHINGLE * (run // ALTERED))
 
 
-def holds(item: list[str], item_word: list[int], text: list[str], text_word: list[int]) -> bool:
-    """Whether ``text`` has a run of at least half the item's words with at most one in ten altered."""
+def passage(item: list[str], item_word: list[int], text: list[str], text_word: list[int]) -> tuple[int, int, int, int] | None:
+    """The longest run of at least half the item's words with at most one in ten altered.
+
+    As its words, the altered ones, and the first and last word of ``text`` it
+    covers; None if there is none.
+    """
     n = item_word[-1] + 1
-    need = n * LEAST_SHARE
+    need, best = n * LEAST_SHARE, None
     blocks = [b for b in SequenceMatcher(None, item, text, autojunk=False).get_matching_blocks() if b.size]
     for start in range(len(blocks)):
         a = blocks[start]
@@ -99,9 +104,9 @@ def holds(item: list[str], item_word: list[int], text: list[str], text_word: lis
             end = b.a + b.size
             last = item_word[end - 1] - (end < len(item) and item_word[end] == item_word[end - 1])
             run = last - first + 1
-            if run >= need and altered * ALTERED <= run:
-                return True
-    return False
+            if run >= need and altered * ALTERED <= run and (best is None or run - altered > best[0] - best[1]):
+                best = (run, altered, text_word[a.b], text_word[b.b + b.size - 1])
+    return best
 
 
 class Index:
@@ -227,12 +232,15 @@ def _verified(documents: DataFrame, index: Index) -> DataFrame:
                         if spans is None:
                             spans, text_word = units(texts[d], False)
                         where = text_word[max(0, low - slack) : high + size + slack]
-                    if holds(item, word, part, where):
-                        rows.append((ids[d], item_id))
+                    hit = passage(item, word, part, where)
+                    if hit:
+                        # In characters places count from the window's start.
+                        base = low * 2 if by_character else 0
+                        rows.append((ids[d], item_id, *hit[:2], base + hit[2], base + hit[3], by_character))
                         break
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "altered", "first", "last", "by_character"]).astype({c: "int64" for c in ("doc_id", "item_id", "run", "altered", "first", "last")} | {"by_character": bool})
 
-    return documents.select("doc_id", "text").mapInPandas(of, "doc_id long, item_id long")
+    return documents.select("doc_id", "text").mapInPandas(of, _PASSAGE)
 
 
 def blocks(items: DataFrame, most: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
@@ -251,10 +259,14 @@ def blocks(items: DataFrame, most: int = BLOCK) -> Iterator[list[tuple[int, str]
 
 def leaks(documents: DataFrame, items: DataFrame, most: int = BLOCK) -> DataFrame:
     """(doc_id, item_id): the documents (doc_id, text) that hold a passage of an item (item_id, text)."""
-    out = documents.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    out = documents.sparkSession.createDataFrame([], _PASSAGE)
     documents = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     for block in blocks(items, most):
         index = Index(block)
         index.prefixes(_shingle_counts(documents, index))
         out = out.unionByName(_verified(documents, index))
-    return out.distinct()
+    # Items built alike share runs: a passage goes to the item of which it is the better copy.
+    found = out.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "run", "altered", "first", "last", "by_character")).alias("p"))
+    better = """filter(p, x -> NOT exists(p, y -> y.item_id != x.item_id AND y.by_character = x.by_character AND y.altered < x.altered AND y.run >= x.run
+        AND 2 * (least(x.last, y.last) - greatest(x.first, y.first) + 1) > x.last - x.first + 1))"""
+    return found.select("doc_id", F.explode(F.expr(better)).alias("x")).select("doc_id", F.col("x.item_id").alias("item_id")).distinct()
