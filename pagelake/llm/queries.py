@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import boilerplate, contamination, language, line_repeats, markup, sentences, template_residue
+from pagelake.llm import boilerplate, contamination, history_dedup, language, line_repeats, markup, mixing, sentences, template_residue
 from pagelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "markdown_documents", "page_id", "url", "markdown")
+    return history_dedup.repeats(pages, table(spark, sf_dir, "content_records", "page_id"), table(spark, sf_dir, "registrations", "page_id"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_repeats.repeated_lines(table(spark, sf_dir, "markdown_documents", "page_id", "url", "markdown"))
 
@@ -37,8 +42,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
 
 
+def p9_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn, with the number of their uses."""
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "source_weights"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "source_weights"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_offsets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p8_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p8_found, p9_selected, p9_shares, p10_found)}
