@@ -118,7 +118,7 @@ def plan_source(lengths: dict[int, int], budget: int, most: int, window: int = W
         # Rounded by lot, the even part may be too much or too little by some documents; lots correct it up to the window.
         order = sorted(lengths, key=lambda n: _draw(seed, "order", n))
         for n in order:
-            while rest < 0 and extra[n]:
+            while rest < window // 2 and extra[n]:
                 extra[n] -= 1
                 rest += n
         for n in order:
