@@ -16,15 +16,22 @@ from pagelake.functions.text import strip
 # Query parameters that only track, besides those starting with utm_.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "referrer", "source")
 
-# File endings that are never followed as links.
+# File endings (as regular expressions) and path parts that are never followed as links.
 LINK_EXTENSIONS = (
-    "7z", "avi", "bmp", "bz2", "css", "csv", "doc", "docx", "gif", "gz", "ico", "jpeg", "jpg", "json", "mkv", "mov",
-    "mp3", "mp4", "pdf", "png", "ppt", "pptx", "rar", "svg", "tar", "tgz", "txt", "wav", "webm", "webp", "woff",
-    "woff2", "xls", "xlsx", "xml", "zip",
+    "7z", "avi", "css", "csv", "doc", "docx", "gif", "gz", "ico", "jpe?g", "json", "m4a", "mov", "mp3", "mp4", "mpeg", "mpg", "pdf", "png", "ppt",
+    "pptx", "rar", "rss", "svg", "tar", "tgz", "txt", "wav", "webm", "webp", "woff2?", "xls", "xlsx", "xml", "zip",
 )
-# Path parts that are never followed as links.
 LINK_PARTS = ("login", "signin", "signup", "cart", "checkout")
 
+# File endings and path parts that addresses from site maps may not have.
+SITEMAP_EXTENSIONS = (
+    ".7z", ".avi", ".avif", ".bin", ".bmp", ".bz2", ".css", ".csv", ".doc", ".docx", ".eot", ".exe", ".gif", ".gz", ".ico", ".iso", ".jpeg", ".jpg",
+    ".js", ".json", ".m4a", ".m4v", ".mov", ".mp3", ".mp4", ".mpeg", ".mpg", ".odp", ".ods", ".odt", ".ogg", ".ogv", ".otf", ".pdf", ".png", ".ppt",
+    ".pptx", ".rar", ".rss", ".svg", ".tar", ".tgz", ".tif", ".tiff", ".ttf", ".wav", ".webm", ".webp", ".woff", ".woff2", ".xls", ".xlsx", ".xml",
+    ".xz", ".zip",
+)
+SITEMAP_PARTS = ("account", "admin", "auth", "cart", "checkout", "download", "downloads", "login", "logout", "register", "search", "signin", "signup")
+
 _SPLIT = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -167,5 +174,73 @@ def excluded_link(url: Column) -> Column:
     endings = "|".join(LINK_EXTENSIONS)
     path_parts = "|".join(LINK_PARTS)
     return F.coalesce(
-        url.rlike(rf"(?i)\.(?:{endings})(?:[?#]|$)") | url.rlike(rf"(?i)/(?:{path_parts})(?:[/?#]|$)"), F.lit(False)
+        url.rlike(rf"(?i)\.(?:{endings})(?:[?#].*)?$") | url.rlike(rf"(?i)/(?:{path_parts})(?:/|$|[?#])"), F.lit(False)
     )
+
+
+def path_suffix(path: Column) -> Column:
+    """The ending of a path's last part with its dot, as file systems see it; '' if there is none."""
+    last = F.element_at(F.split(F.regexp_replace(path, r"/+$", ""), "/"), -1)
+    suffix = F.regexp_extract(last, r"(\.[^.]*)$", 1)
+    return F.when(last.rlike(r"^\.*[^.]+(?:\..*)?\.[^.]+$") & ~last.rlike(r"^\.[^.]*$"), suffix).otherwise("")
+
+
+def sitemap_safe(url: Column, start: Column) -> Column:
+    """Whether an address of a site map may be followed from ``start``: same origin, under its path, no file, no account page."""
+
+    def of(both: Column) -> Column:
+        path = F.lower(F.when(both["u"]["path"] == "", "/").otherwise(both["u"]["path"]))
+        scoped = F.lower(F.regexp_replace(both["s"]["path"], r"/+$", ""))
+        inside = (scoped == "") | (path == scoped) | F.startswith(path, F.concat(scoped, F.lit("/")))
+        blocked = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SITEMAP_PARTS)))
+        return inside & ~path_suffix(path).isin(*SITEMAP_EXTENSIONS) & ~blocked
+
+    inside = let(F.struct(parts(normalize(url)).alias("u"), parts(normalize(start)).alias("s")), of)
+    return F.coalesce(same_origin(url, start) & inside, F.lit(False))
+
+
+def sitemap_candidates(start: Column) -> Column:
+    """The three usual places of a site map."""
+    root = let(parts(normalize(start)), lambda p: F.concat(p["scheme"], F.lit("://"), p["host"], F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")), F.lit("/")))
+    return F.array(*(F.concat(root, F.lit(x)) for x in ("sitemap.xml", "sitemap_index.xml", "sitemap.xml.gz")))
+
+
+def robots_url(start: Column) -> Column:
+    return F.regexp_replace(F.element_at(sitemap_candidates(start), 1), r"sitemap\.xml$", "robots.txt")
+
+
+def _without_dots(path: Column) -> Column:
+    """RFC 3986 dot segments taken out of an absolute path."""
+    pieces = F.split(path, "/", -1)
+    last_is_dot = F.element_at(pieces, -1).isin(".", "..")
+    step = lambda acc, x: (
+        F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    )
+    kept = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), F.array(F.lit("")), step)
+    joined = F.array_join(F.when(last_is_dot, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(joined == "", "/").otherwise(joined)
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """``href`` resolved against ``base`` (RFC 3986); NULL if either is NULL or ``base`` no HTTP address."""
+
+    def of(x: Column) -> Column:
+        b, h = x["b"], x["h"]
+        authority = F.regexp_extract(x["base"], r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+        scheme = F.regexp_extract(x["base"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+        path = F.regexp_extract(h, r"^([^?#]*)", 1)
+        tail = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+        folder = F.regexp_replace(F.when(b["path"] == "", "/").otherwise(b["path"]), r"[^/]*$", "")
+        query = F.when(b["query"] == "", "").otherwise(F.concat(F.lit("?"), b["query"]))
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h == "", F.concat(authority, b["path"], query))
+            .when(h.startswith("#"), F.concat(authority, b["path"], query, h))
+            .when(h.startswith("?"), F.concat(authority, b["path"], h))
+            .when(h.startswith("/"), F.concat(authority, _without_dots(path), tail))
+            .otherwise(F.concat(authority, _without_dots(F.concat(folder, path)), tail))
+        )
+
+    whole = F.struct(clean(base).alias("base"), parts(base).alias("b"), clean(href).alias("h"))
+    return F.when(is_http_url(base) & href.isNotNull(), let(whole, of))
