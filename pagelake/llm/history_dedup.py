@@ -36,9 +36,9 @@ from pagelake.llm.boilerplate import split_batch
 from pagelake.llm.contamination import _TOKEN, bare
 from pagelake.session import cut, shared_dir
 
-VALUES, TREES, DEPTH, SHINGLE = 64, 32, 6, 5
+VALUES, TREES, DEPTH, SHINGLE = 64, 24, 6, 5
 #: Share of tokens that may differ; the least similarity of the shingle sets of repeats; the recall asked for at it.
-MOST_CHANGED, LEAST_SIMILARITY, RECALL = 0.1, 0.55, 0.99
+MOST_CHANGED, LEAST_SIMILARITY, RECALL = 0.1, 0.55, 0.985
 #: Ranges of more entries are searched for their earliest page first.
 DENSE = 48
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, (2, VALUES), dtype=np.uint64) | np.uint64(1)
@@ -127,27 +127,29 @@ def signed(pages: DataFrame) -> DataFrame:
 
 
 class HashForest:
-    """Runs of sorted labels under one folder; each run also keeps the tokens by which candidates are verified.
+    """Runs of (tree, label) entries under one folder, with the tokens by which candidates are verified.
 
-    A run has one row per distinct article: its earliest page and, for the
-    search, the pages that ask. Runs are written whole under a new name, so a
-    lost executor only repeats a task.
+    A run has entries for each distinct article, named by its earliest page,
+    and says which articles ask. Runs are written whole under a new name, so a
+    lost executor only repeats a task. Tokens stay where they were written and
+    are read for candidates only.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path, self.runs = spark, path.rstrip("/"), []  # type: ignore[var-annotated]
 
-    def add(self, texts: DataFrame) -> str:
-        """Adds a run of ``texts`` (text_id, size, tokens, labels, ...); its name."""
+    def add(self, signs: DataFrame, ends: DataFrame) -> str:
+        """Adds a run of ``signs`` (as ``signed`` gives them) whose distinct articles are ``ends`` (as ``folded``); its name."""
         name = f"{self.path}/run-{len(self.runs)}-{uuid.uuid4().hex}"
-        texts.drop("labels").write.parquet(f"{name}/texts")
-        labels = texts.select("text_id", "asks", F.posexplode("labels").alias("tree", "label"))
+        signs.select("page_id", "size", "tokens").write.parquet(f"{name}/tokens")
+        rows = signs.select(F.col("page_id").alias("text_id"), "labels").join(ends.select("text_id", "asks"), "text_id")
+        labels = rows.select("text_id", "asks", F.posexplode("labels").alias("tree", "label"))
         labels.withColumn("tree", F.col("tree").cast("byte")).write.parquet(f"{name}/labels")
         self.runs.append(name)
         return name
 
-    def texts(self) -> DataFrame:
-        return self.spark.read.parquet(*(f"{r}/texts" for r in self.runs))
+    def tokens(self) -> DataFrame:
+        return self.spark.read.parquet(*(f"{r}/tokens" for r in self.runs))
 
     def labels(self) -> DataFrame:
         return self.spark.read.parquet(*(f"{r}/labels" for r in self.runs))
@@ -155,55 +157,58 @@ class HashForest:
     def merge(self) -> str:
         """One sorted run of all runs; the old ones stay on disk for readers that still use them."""
         name = f"{self.path}/run-merged-{uuid.uuid4().hex}"
-        self.texts().write.parquet(f"{name}/texts")
-        parts = max(1, self.labels().rdd.getNumPartitions() // 2)
-        self.labels().repartitionByRange(parts, "tree", "label").sortWithinPartitions("tree", "label").write.parquet(f"{name}/labels")
+        self.tokens().write.parquet(f"{name}/tokens")
+        self.labels().repartitionByRange("tree", "label").sortWithinPartitions("tree", "label").write.parquet(f"{name}/labels")
         self.runs = [name]
         return name
 
-    def candidates(self, recall: float = RECALL) -> DataFrame:
-        """(text_id, other_id, dense): asking texts with an earlier-known text in one range; dense pairs are with a range's first only."""
+    def neighbours(self, recall: float = RECALL) -> DataFrame:
+        """(range, text_id, asks, n, first): the entries of ranges that hold several texts, one of which asks.
+
+        Only these few are kept; entries alone in their range are read once and dropped.
+        """
         length = 2 * prefix_length(recall=recall)
         entries = self.labels().select("text_id", "asks", F.xxhash64("tree", F.substring("label", 1, length)).alias("range"))
         sizes = entries.groupBy("range").agg(F.count("*").alias("n"), F.min("text_id").alias("first"), F.max("asks").alias("asked"))
-        sizes = sizes.filter("n > 1 AND asked IS NOT NULL")
-        asking = entries.filter("asks IS NOT NULL")
-        found = asking.join(sizes.select("range", "n", "first"), "range")
-        first = found.select("text_id", "asks", F.col("first").alias("other_id"), "range", "n")
-        sparse = first.filter(F.col("n") <= DENSE).select("text_id", "asks", "range")
-        others = entries.select("range", F.col("text_id").alias("other_id"))
-        pairs = sparse.join(others, "range").select("text_id", "asks", "other_id", F.lit(False).alias("dense"))
-        heads = first.filter(F.col("n") > DENSE).select("text_id", "asks", "other_id", F.lit(True).alias("dense"))
+        return entries.join(sizes.filter("n > 1 AND asked > first").select("range", "n", "first"), "range")
+
+    @staticmethod
+    def candidates(near: DataFrame) -> DataFrame:
+        """(text_id, other_id, dense): asking texts with the others of a range; of dense ranges with the first only."""
+        asking = near.filter("asks IS NOT NULL")
+        others = near.filter(F.col("n") <= DENSE).select("range", F.col("text_id").alias("other_id"))
+        pairs = asking.filter(F.col("n") <= DENSE).select("range", "text_id", "asks").join(others, "range").select("text_id", "asks", "other_id", F.lit(False).alias("dense"))
+        heads = asking.filter(F.col("n") > DENSE).select("text_id", "asks", F.col("first").alias("other_id"), F.lit(True).alias("dense"))
         both = pairs.unionByName(heads).filter("other_id < asks AND other_id <> text_id")
         return both.groupBy("text_id", "other_id").agg(F.max("dense").alias("dense"))
 
-    def dense_rest(self, answered: DataFrame, recall: float = RECALL) -> DataFrame:
+    @staticmethod
+    def dense_rest(near: DataFrame, answered: DataFrame) -> DataFrame:
         """(text_id, other_id): for asking texts in dense ranges all others earlier than the answer they have."""
-        length = 2 * prefix_length(recall=recall)
-        entries = self.labels().select("text_id", "asks", F.xxhash64("tree", F.substring("label", 1, length)).alias("range"))
-        dense = entries.groupBy("range").agg(F.count("*").alias("n"), F.min("text_id").alias("first")).filter(F.col("n") > DENSE)
-        asking = entries.filter("asks IS NOT NULL").join(dense, "range").join(answered, "text_id", "left")
-        # What begins with its answer has no earlier one.
+        dense = near.filter(F.col("n") > DENSE)
+        asking = dense.filter("asks IS NOT NULL").join(answered, "text_id", "left")
+        # What has the range's first page as its answer has no earlier one there.
         left = asking.filter("answer IS NULL OR answer > first").select("text_id", "range", F.coalesce("answer", "asks").alias("_below"))
-        others = entries.select("range", F.col("text_id").alias("other_id"))
-        pairs = left.join(others, "range").filter("other_id < _below AND other_id <> text_id")
+        pairs = left.join(dense.select("range", F.col("text_id").alias("other_id")), "range").filter("other_id < _below AND other_id <> text_id")
         return pairs.select("text_id", "other_id").distinct()
 
     def verify(self, pairs: DataFrame, most_changed: float = MOST_CHANGED) -> DataFrame:
         """(text_id, other_id): the pairs whose articles are the same up to the changes allowed."""
-        texts = self.texts().select("text_id", "size", "tokens")
-        wanted = pairs.select("text_id").unionByName(pairs.select(F.col("other_id").alias("text_id"))).distinct()
-        texts = texts.join(wanted, "text_id", "left_semi")
+        wanted = cut(pairs.select("text_id").unionByName(pairs.select(F.col("other_id").alias("text_id"))).distinct())
+        texts = self.tokens().withColumnRenamed("page_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])
+        texts = cut(texts)
         a = texts.select("text_id", F.col("size").alias("n"), F.col("tokens").alias("x"))
         b = texts.select(F.col("text_id").alias("other_id"), F.col("size").alias("m"), F.col("tokens").alias("y"))
+        sizes_a, sizes_b = a.select("text_id", "n"), b.select("other_id", "m")
         close = F.abs(F.col("n") - F.col("m")) <= F.greatest("n", "m") * F.lit(most_changed)
+        near = pairs.select("text_id", "other_id").join(sizes_a, "text_id").join(sizes_b, "other_id").filter(close).select("text_id", "other_id")
 
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 keep = [changed(x, y) <= most_changed for x, y in zip(batch["x"], batch["y"], strict=True)]
                 yield batch.loc[keep, ["text_id", "other_id"]]
 
-        sides = pairs.select("text_id", "other_id").join(a, "text_id").join(b, "other_id").filter(close)
+        sides = near.join(a, "text_id").join(b, "other_id")
         return sides.select("text_id", "other_id", "x", "y").mapInPandas(of, "text_id long, other_id long")
 
 
@@ -221,12 +226,13 @@ def changed(x: bytes, y: bytes) -> float:
     return max(net[net > 0].sum(), -net[net < 0].sum()) / max(len(a), len(b))
 
 
-def folded(signs: DataFrame, asking: DataFrame) -> DataFrame:
-    """Distinct articles: (copy, text_id, asks, size, tokens, labels); text_id is the earliest page, asks the last one that asks."""
-    flagged = signs.join(asking.select("page_id", F.lit(True).alias("_asks")).distinct(), "page_id", "left")
-    ends = flagged.groupBy("copy").agg(F.min("page_id").alias("text_id"), F.max(F.when(F.col("_asks"), F.col("page_id"))).alias("asks"))
-    rows = signs.select(F.col("page_id").alias("text_id"), "size", "tokens", "labels").dropDuplicates(["text_id"])
-    return ends.join(rows, "text_id")
+def folded(signs: DataFrame, known: DataFrame) -> DataFrame:
+    """(copy, text_id, asks): distinct articles of the ``known`` (page_id, asking) pages.
+
+    text_id is the earliest page, asks the last one that asks, NULL if none does.
+    """
+    rows = signs if "asking" in signs.columns else signs.select("page_id", "copy").join(known, "page_id")
+    return rows.groupBy("copy").agg(F.min("page_id").alias("text_id"), F.max(F.when(F.col("asking"), F.col("page_id"))).alias("asks"))
 
 
 def repeats(pages: DataFrame, history: DataFrame, batch: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -235,23 +241,22 @@ def repeats(pages: DataFrame, history: DataFrame, batch: DataFrame, recall: floa
     ``history`` and ``batch`` have page_id; ``pages`` has page_id, url, markdown.
     """
     spark = pages.sparkSession
-    asking = batch.select("page_id").filter("page_id IS NOT NULL").distinct()
-    known = history.select("page_id").filter("page_id IS NOT NULL").unionByName(asking).distinct()
-    part = pages.select("page_id", "url", "markdown").join(known, "page_id", "left_semi")
-    signs = cut(signed(part))
+    ids = batch.select("page_id", F.lit(True).alias("asking")).unionByName(history.select("page_id", F.lit(False).alias("asking")))
+    known = ids.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.max("asking").alias("asking"))
+    signs = cut(signed(pages))
+    members = cut(signs.select("page_id", "copy").join(known, "page_id"))
+    ends = cut(folded(members, known))
     forest = HashForest(spark, f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}")
-    forest.add(folded(signs, asking))
-    pairs = cut(forest.candidates(recall))
+    forest.add(signs, ends)
+    near = cut(forest.neighbours(recall))
+    pairs = cut(forest.candidates(near))
     same = cut(forest.verify(pairs))
-    answer = same.groupBy("text_id").agg(F.min("other_id").alias("answer"))
-    rest = forest.dense_rest(answer, recall) if pairs.filter("dense").limit(1).count() else None
-    if rest is not None:
-        same = same.unionByName(forest.verify(rest.join(pairs, ["text_id", "other_id"], "left_anti"))).distinct()
+    if not near.filter(F.col("n") > DENSE).isEmpty():
+        answer = same.groupBy("text_id").agg(F.min("other_id").alias("answer"))
+        rest = cut(forest.dense_rest(near, answer).join(pairs, ["text_id", "other_id"], "left_anti"))
+        same = same.unionByName(forest.verify(rest))
     # Each asking page: its own copies' first page, and the first pages of the articles like it.
-    ends = forest.texts().filter("asks IS NOT NULL").select("copy", "text_id")
-    members = signs.select("page_id", "copy").join(asking, "page_id", "left_semi").distinct().join(ends, "copy")
     answers = same.groupBy("text_id").agg(F.min("other_id").alias("other"))
-    out = members.join(answers, "text_id", "left").select(
-        F.least(F.col("text_id"), F.coalesce("other", "text_id")).alias("page_id_a"), F.col("page_id").alias("page_id_b")
-    )
-    return out.filter("page_id_a < page_id_b").distinct()
+    best = ends.filter("asks IS NOT NULL").join(answers, "text_id", "left").select("copy", F.least("text_id", F.coalesce("other", "text_id")).alias("page_id_a"))
+    out = members.filter("asking").select("copy", F.col("page_id").alias("page_id_b")).join(best, "copy")
+    return out.filter("page_id_a < page_id_b").select("page_id_a", "page_id_b").distinct()
