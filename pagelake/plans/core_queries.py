@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import languages, markdown, urls
 from pagelake.functions.text import blank_to_null, digest_key
-from pagelake.operators import freshness, frontier, incremental, links, pacing, registry, report
+from pagelake.operators import export, freshness, frontier, incremental, links, pacing, registry, report, sitemaps
 from pagelake.plans import sql as q
+from pagelake.session import shared_dir
 from pagelake.sources.tables import table
+from pagelake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,3 +577,40 @@ def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
     content = F.when(v % 7 == 1, "application/pdf").otherwise("Text/HTML; charset=utf-8")
     rows = table(spark, d, "events", "event_id", "event_type", "value")
     return rows.select("event_id", report.fetch_outcome(v % 10 == 0, kind, http, content).alias("outcome"))
+
+
+# ------------------------------------------------------------------ HTML, site maps and streams
+
+
+@query()
+def html_export(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of HTML pages made from the Markdown ones, line by line."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.filter(F.split("markdown", r"\r?\n"), lambda x: x != ""), lambda x: F.concat(F.lit("<p>"), esc(x), F.lit("</p>")))
+    html = F.concat(
+        F.lit('<html lang="'), F.coalesce("language", F.lit("")), F.lit('"><head><title>'), esc(F.coalesce("title", F.lit(""))),
+        F.lit("</title></head><body><nav><p>Menu</p></nav><article>"), F.array_join(lines, ""), F.lit("</article></body></html>"),
+    )
+    pages = table(spark, d, "markdown_documents", "url", "title", "language", "markdown").select("url", html.alias("html"))
+    return export.documents(pages).select("url", "title", "language", "output_path", "content_hash", "is_empty")
+
+
+@query(f"SELECT DISTINCT norm AS loc FROM {q.parsed('markdown_documents', 'url')} WHERE norm IS NOT NULL")
+def sitemap_read(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses read back from a site map for each page."""
+    u = urls.normalize(F.col("url"))
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url></urlset>"))
+    files = table(spark, d, "markdown_documents", "url").filter(u.isNotNull()).select(u.alias("url"), F.to_binary(xml, F.lit("utf-8")).alias("payload")).distinct()
+    return sitemaps.read(files).select(F.explode("locs").alias("loc"))
+
+
+@query("SELECT DISTINCT page_id FROM content_records")
+def stream_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Records run through the streaming sync from an empty state: each of them is new once."""
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = "page_id long, content_hash string, canonical_url string"
+    rows = ingest.source(spark, f"{d}/content_records.parquet", schema)
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    key, row_hash = urls.normalize(F.col("canonical_url")), digest_key(F.col("content_hash"))
+    ingest.sync(rows, f"{base}/state", key, row_hash, "page_id", sink, f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("page_id").distinct()
