@@ -34,6 +34,7 @@ SHINGLE, LEAST_SHARE, ALTERED = 4, 0.5, 10
 BLOCK = 16 << 20
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
+_PLAIN, _ANY_CJK = re.compile(r"[^\W_]+"), re.compile(f"[{_CJK}]")
 _CHUNK = re.compile(r"\S+")
 _MARKUP = re.compile(r"\]\([^)\s]*\)|</?[A-Za-z][^<>\n]*>|&[a-z]+;")
 _PASSAGE = "doc_id long, item_id long, run long, altered long, first long, last long, by_character boolean"
@@ -47,7 +48,8 @@ def bare(text: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(bare(text))
+    text = bare(text)
+    return (_PLAIN if text.isascii() or not _ANY_CJK.search(text) else _TOKEN).findall(text)
 
 
 def is_by_character(text: str) -> bool:
@@ -73,11 +75,29 @@ def units(text: str, by_character: bool) -> tuple[list[str], list[int]]:
 
 
 def least_intact(words: int) -> int:
-    """Shingles of the item that the shortest passage, altered as much as may be, leaves intact."""
+    """Shingles of the item that the shortest passage, altered as much as may be, leaves intact.
+
+    An altered word of m tokens breaks at most SHINGLE - 1 + m shingles, and its
+    tokens made m more, so words may be counted for tokens.
+    """
     run = -(-words // 2)
     return max(1, run - SHINGLE + 1 - SHINGLE * (run // ALTERED))
 
 
+def least_intact_characters(sizes: list[int]) -> int:
+    """The same for an item that counts in characters, whose tokens have ``sizes`` characters."""
+    need = -(-sum(sizes) // 2)
+    fewest, start, inside = len(sizes), 0, 0
+    for end, size in enumerate(sizes):
+        inside += size
+        while inside - sizes[start] >= need:
+            inside -= sizes[start]
+            start += 1
+        if inside >= need:
+            fewest = min(fewest, end - start + 1)
+    return max(1, fewest - SHINGLE + 1 - SHINGLE * (need // ALTERED))
+
+
 def passage(item: list[str], item_word: list[int], text: list[str], text_word: list[int]) -> tuple[int, int, int, int] | None:
     """The longest run of at least half the item's words with at most one in ten altered.
 
@@ -116,6 +136,7 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, bool, list[str], list[int], int]] = []
         places = defaultdict(list)
+        least: list[int] = []
         for item_id, text in items:
             got = tokens(text)
             if not got:
@@ -124,11 +145,17 @@ class Index:
             own, word = units(text, by_character)
             k = len(self.items)
             self.items.append((item_id, by_character, own, word, len(got)))
+            least.append(least_intact_characters([len(t) for t in got]) if by_character else least_intact(word[-1] + 1))
             ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in got], np.uint64)
             for pos, h in enumerate(self._hash(ids).tolist()):
                 places[h].append((k, pos))
         self.hashes = np.array(sorted(places), np.uint64)
-        self.places = [places[h] for h in self.hashes.tolist()]
+        flat = [places[h] for h in self.hashes.tolist()]
+        self.start = np.cumsum([0, *map(len, flat)])
+        self.item_of = np.array([k for x in flat for k, _ in x], np.int64)
+        self.place = np.array([pos for x in flat for _, pos in x], np.int64)
+        self.in_prefix = np.ones(len(self.place), bool)
+        self.least = np.array(least, np.int64)
 
     @staticmethod
     def _hash(ids: np.ndarray) -> np.ndarray:
@@ -145,8 +172,11 @@ class Index:
         """Of all texts: the text, the position and the number of each shingle of the index found."""
         got = [tokens(t) for t in texts]
         get = self.vocabulary.get
-        pad = [0] * SHINGLE
-        ids = np.array([x for t in got for x in (*(get(w, 0) for w in t), *pad)], np.uint64)
+        flat: list[int] = []
+        for t in got:
+            flat += [get(w, 0) for w in t]
+            flat += [0] * SHINGLE
+        ids = np.array(flat, np.uint64)
         if not len(ids) or not len(self.hashes):
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), got
         lengths = np.array([len(t) + SHINGLE for t in got])
@@ -163,19 +193,34 @@ class Index:
         return doc, at - starts[doc], found, got
 
     def prefixes(self, frequency: dict[int, int]) -> None:
-        """Keeps of each item only the places of its rarest shingles that a true document can't miss."""
-        by_item = defaultdict(list)
-        for s, places in enumerate(self.places):
-            for k, pos in places:
-                by_item[k].append((frequency.get(s, 0), s, pos))
-        kept = defaultdict(list)
-        for k, all_of in by_item.items():
-            all_of.sort()
-            # Words may hold several tokens, so the bound is taken in words, which are fewer; characters in tokens.
-            words = self.items[k][3][-1] + 1 if not self.items[k][1] else 0
-            for _, s, pos in all_of[: len(all_of) - (least_intact(words) if words else 1) + 1]:
-                kept[s].append((k, pos))
-        self.places = [kept.get(s, []) for s in range(len(self.places))]
+        """Marks of each item the places of its rarest shingles, one of which a true document can't miss."""
+        rarity = np.repeat([frequency.get(s, 0) for s in range(len(self.hashes))], np.diff(self.start))
+        order = np.lexsort((self.place, rarity, self.item_of))
+        owner = self.item_of[order]
+        count = np.bincount(owner, minlength=len(self.items))
+        rank = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+        self.in_prefix = np.zeros(len(owner), bool)
+        self.in_prefix[order] = rank < (count - self.least + 1)[owner]
+
+    def candidates(self, doc: np.ndarray, position: np.ndarray, found: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """For each (text, item) that shares a prefix shingle and enough shingles in all, the diagonals of the prefix shingles."""
+        n = self.start[found + 1] - self.start[found]
+        which = np.repeat(np.arange(len(found)), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + self.start[found][which]
+        d, k, place, diagonal = doc[which], self.item_of[at], self.place[at], position[which] - self.place[at]
+        key = d * max(1, len(self.items)) + k
+        hit = np.isin(key, np.unique(key[self.in_prefix[at]]))
+        key, place, diagonal, first, k = key[hit], place[hit], diagonal[hit], self.in_prefix[at][hit], k[hit]
+        # Of each pair the places of the item that are intact somewhere in the text: fewer than the least can't be a passage.
+        width = int(self.place.max(initial=0)) + 1
+        distinct = np.unique(key * width + place) // width
+        pairs, intact = np.unique(distinct, return_counts=True)
+        enough = pairs[intact >= self.least[pairs % max(1, len(self.items))]]
+        keep = first & np.isin(key, enough)
+        seen: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for x, g in zip(key[keep].tolist(), diagonal[keep].tolist(), strict=True):
+            seen[divmod(x, len(self.items))].add(g)
+        return seen
 
 
 def _shingle_counts(documents: DataFrame, index: Index) -> dict[int, int]:
@@ -205,10 +250,7 @@ def _verified(documents: DataFrame, index: Index) -> DataFrame:
             b = b[b["text"].map(lambda x: isinstance(x, str))]
             texts = list(b["text"])
             doc, position, found, got = own.hits(texts)
-            seen = defaultdict(set)
-            for d, p, s in zip(doc.tolist(), position.tolist(), found.tolist(), strict=True):
-                for k, pos in own.places[s]:
-                    seen[d, k].add(p - pos)
+            seen = own.candidates(doc, position, found)
             rows = []
             ids = b["doc_id"].to_numpy()
             for (d, k), diagonals in seen.items():
