@@ -36,13 +36,15 @@ from pagelake.llm.boilerplate import split_batch
 from pagelake.llm.contamination import _TOKEN, bare
 from pagelake.session import cut, shared_dir
 
-VALUES, TREES, DEPTH, SHINGLE = 64, 24, 6, 5
-#: Share of tokens that may differ; the least similarity of the shingle sets of repeats; the recall asked for at it.
-MOST_CHANGED, LEAST_SIMILARITY, RECALL = 0.1, 0.55, 0.985
+VALUES, TREES, DEPTH, SHINGLE = 168, 56, 4, 5
+#: Share of tokens that may differ; the least similarity of shingle sets this leaves (0.9 to the fifth of the shingles are
+#: intact on either side, if the changes stand apart); the recall asked for at it.
+MOST_CHANGED, LEAST_SIMILARITY, RECALL = 0.1, 0.42, 0.98
 #: Ranges of more entries are searched for their earliest page first.
 DENSE = 48
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, (2, VALUES), dtype=np.uint64) | np.uint64(1)
-_ORDERS = np.stack([np.random.default_rng(100 + t).permutation(VALUES)[:DEPTH] for t in range(TREES)])
+#: The first three values of each tree are its own, so that trees err independently; deeper ones are shared.
+_ORDERS = np.stack([np.concatenate([np.arange(3 * t, 3 * t + 3), np.random.default_rng(t).choice(np.delete(np.arange(VALUES), np.s_[3 * t : 3 * t + 3]), DEPTH - 3, False)]) for t in range(TREES)])
 _SIGNED = "page_id long, copy binary, size int, tokens binary, labels array<binary>"
 
 
@@ -138,55 +140,63 @@ class HashForest:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path, self.runs = spark, path.rstrip("/"), []  # type: ignore[var-annotated]
 
-    def add(self, signs: DataFrame, ends: DataFrame) -> str:
-        """Adds a run of ``signs`` (as ``signed`` gives them) whose distinct articles are ``ends`` (as ``folded``); its name."""
+    def sign(self, pages: DataFrame) -> DataFrame:
+        """Begins a run with ``pages`` (page_id, url, markdown): signs them, once, and gives what ``signed`` gives, as written."""
         name = f"{self.path}/run-{len(self.runs)}-{uuid.uuid4().hex}"
-        signs.select("page_id", "size", "tokens").write.parquet(f"{name}/tokens")
-        rows = signs.select(F.col("page_id").alias("text_id"), "labels").join(ends.select("text_id", "asks"), "text_id")
-        labels = rows.select("text_id", "asks", F.posexplode("labels").alias("tree", "label"))
-        labels.withColumn("tree", F.col("tree").cast("byte")).write.parquet(f"{name}/labels")
+        signed(pages).write.parquet(f"{name}/signs")
         self.runs.append(name)
-        return name
+        return self.spark.read.schema(_SIGNED).parquet(f"{name}/signs")
+
+    def index(self, signs: DataFrame, ends: DataFrame) -> None:
+        """Ends the last run: entries for its distinct articles ``ends`` (as ``folded`` gives them)."""
+        rows = signs.select(F.col("page_id").alias("text_id"), "labels").join(ends.select("text_id", F.col("asks").isNotNull().cast("long").alias("flag")), "text_id")
+        # The lowest bit of a code says whether the text asks; codes sort as the texts do.
+        labels = rows.select((F.shiftleft("text_id", 1) + F.col("flag")).alias("code"), F.posexplode("labels").alias("tree", "label"))
+        labels.withColumn("tree", F.col("tree").cast("byte")).write.parquet(f"{self.runs[-1]}/labels")
 
     def tokens(self) -> DataFrame:
-        return self.spark.read.parquet(*(f"{r}/tokens" for r in self.runs))
+        """(page_id, size, tokens) of all runs."""
+        return self.spark.read.schema("page_id long, size int, tokens binary").parquet(*(f"{r}/signs" for r in self.runs))
 
     def labels(self) -> DataFrame:
+        """(code, tree, label) of all runs."""
         return self.spark.read.parquet(*(f"{r}/labels" for r in self.runs))
 
     def merge(self) -> str:
         """One sorted run of all runs; the old ones stay on disk for readers that still use them."""
         name = f"{self.path}/run-merged-{uuid.uuid4().hex}"
-        self.tokens().write.parquet(f"{name}/tokens")
+        self.tokens().write.parquet(f"{name}/signs")
         self.labels().repartitionByRange("tree", "label").sortWithinPartitions("tree", "label").write.parquet(f"{name}/labels")
         self.runs = [name]
         return name
 
     def neighbours(self, recall: float = RECALL) -> DataFrame:
-        """(range, text_id, asks, n, first): the entries of ranges that hold several texts, one of which asks.
+        """(range, text_id, asking, n, first): the entries of ranges that hold several texts, one of which asks.
 
         Only these few are kept; entries alone in their range are read once and dropped.
         """
         length = 2 * prefix_length(recall=recall)
-        entries = self.labels().select("text_id", "asks", F.xxhash64("tree", F.substring("label", 1, length)).alias("range"))
-        sizes = entries.groupBy("range").agg(F.count("*").alias("n"), F.min("text_id").alias("first"), F.max("asks").alias("asked"))
-        return entries.join(sizes.filter("n > 1 AND asked > first").select("range", "n", "first"), "range")
+        entries = self.labels().select("code", F.xxhash64("tree", F.substring("label", 1, length)).alias("range"))
+        sizes = entries.groupBy("range").agg(F.count("*").alias("n"), F.min("code").alias("first"), F.max(F.col("code").bitwiseAND(F.lit(1))).alias("asked"))
+        near = entries.join(sizes.filter("n > 1 AND asked = 1").select("range", "n", "first"), "range")
+        half = lambda c: F.shiftright(c, 1)
+        return near.select("range", half("code").alias("text_id"), (F.col("code").bitwiseAND(F.lit(1)) == 1).alias("asking"), "n", half("first").alias("first"))
 
     @staticmethod
-    def candidates(near: DataFrame) -> DataFrame:
-        """(text_id, other_id, dense): asking texts with the others of a range; of dense ranges with the first only."""
-        asking = near.filter("asks IS NOT NULL")
+    def candidates(near: DataFrame, ends: DataFrame) -> DataFrame:
+        """(text_id, other_id): asking texts with the others of a range that are earlier than some page that asks; of dense ranges with the first only."""
+        asking = near.filter("asking")
         others = near.filter(F.col("n") <= DENSE).select("range", F.col("text_id").alias("other_id"))
-        pairs = asking.filter(F.col("n") <= DENSE).select("range", "text_id", "asks").join(others, "range").select("text_id", "asks", "other_id", F.lit(False).alias("dense"))
-        heads = asking.filter(F.col("n") > DENSE).select("text_id", "asks", F.col("first").alias("other_id"), F.lit(True).alias("dense"))
-        both = pairs.unionByName(heads).filter("other_id < asks AND other_id <> text_id")
-        return both.groupBy("text_id", "other_id").agg(F.max("dense").alias("dense"))
+        pairs = asking.filter(F.col("n") <= DENSE).select("range", "text_id").join(others, "range").select("text_id", "other_id")
+        heads = asking.filter(F.col("n") > DENSE).select("text_id", F.col("first").alias("other_id"))
+        both = pairs.unionByName(heads).filter("other_id <> text_id").distinct()
+        return both.join(ends.select("text_id", "asks"), "text_id").filter("other_id < asks").select("text_id", "other_id")
 
     @staticmethod
-    def dense_rest(near: DataFrame, answered: DataFrame) -> DataFrame:
+    def dense_rest(near: DataFrame, ends: DataFrame, answered: DataFrame) -> DataFrame:
         """(text_id, other_id): for asking texts in dense ranges all others earlier than the answer they have."""
         dense = near.filter(F.col("n") > DENSE)
-        asking = dense.filter("asks IS NOT NULL").join(answered, "text_id", "left")
+        asking = dense.filter("asking").join(ends.select("text_id", "asks"), "text_id").join(answered, "text_id", "left")
         # What has the range's first page as its answer has no earlier one there.
         left = asking.filter("answer IS NULL OR answer > first").select("text_id", "range", F.coalesce("answer", "asks").alias("_below"))
         pairs = left.join(dense.select("range", F.col("text_id").alias("other_id")), "range").filter("other_id < _below AND other_id <> text_id")
@@ -243,17 +253,17 @@ def repeats(pages: DataFrame, history: DataFrame, batch: DataFrame, recall: floa
     spark = pages.sparkSession
     ids = batch.select("page_id", F.lit(True).alias("asking")).unionByName(history.select("page_id", F.lit(False).alias("asking")))
     known = ids.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.max("asking").alias("asking"))
-    signs = cut(signed(pages))
+    forest = HashForest(spark, f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}")
+    signs = forest.sign(pages)
     members = cut(signs.select("page_id", "copy").join(known, "page_id"))
     ends = cut(folded(members, known))
-    forest = HashForest(spark, f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}")
-    forest.add(signs, ends)
+    forest.index(signs, ends)
     near = cut(forest.neighbours(recall))
-    pairs = cut(forest.candidates(near))
+    pairs = cut(forest.candidates(near, ends))
     same = cut(forest.verify(pairs))
     if not near.filter(F.col("n") > DENSE).isEmpty():
         answer = same.groupBy("text_id").agg(F.min("other_id").alias("answer"))
-        rest = cut(forest.dense_rest(near, answer).join(pairs, ["text_id", "other_id"], "left_anti"))
+        rest = cut(forest.dense_rest(near, ends, answer).join(pairs, ["text_id", "other_id"], "left_anti"))
         same = same.unionByName(forest.verify(rest))
     # Each asking page: its own copies' first page, and the first pages of the articles like it.
     answers = same.groupBy("text_id").agg(F.min("other_id").alias("other"))
