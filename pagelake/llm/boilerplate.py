@@ -90,7 +90,10 @@ class Page:
                     c = body[:1] or " "
                 if c == "#":
                     level = len(body) - len(body.lstrip("#"))
-                    body = body[level:].strip() if body[level : level + 1] in (" ", "") else body
+                    if body[level : level + 1] in (" ", "\t", "\xa0", ""):
+                        body = body[level:].strip()
+                    else:
+                        level = 7  # a tag, no heading
                     c = body[:1] or " "
                 if c in "*_" and len(body) > 4 and body[-1] == c:
                     emphasis, body = 1, body.strip("*_")
@@ -197,6 +200,15 @@ class Boilerplate:
         as_furniture = log1p(t) + np.bincount(owner, log1p(s), len(t))
         as_article = log1p(-t) + np.bincount(owner, np.maximum(log1p(s), log1p(-s)), len(t))
         found = (s > 0) | (as_furniture > as_article)[owner]
+        # The first top heading is the article's title, with its underline.
+        at = 0
+        for p in pages:
+            if p.title_at >= 0:
+                found[at + p.title_at] = False
+                after = p.title_at + 1
+                if after < len(p.rows) and p.line_no[after] == p.line_no[p.title_at] + 1 and _SETEXT.match(p.raw[p.line_no[after] - 1]):
+                    found[at + after] = False
+            at += len(p.rows)
         # An article group all of whose lines chose furniture is furniture all the same: both give the same lines.
         cuts = np.cumsum([len(p.rows) for p in pages])[:-1]
         return [x.tolist() for x in np.split(found, cuts)]

@@ -195,7 +195,7 @@ def _render(node: _Node, depth: int = 0) -> str:  # noqa: C901
             number += 1
             body = re.sub(r"\n\s*\n+", "\n", _render(c, depth + 1)).strip()
             mark = f"{number}. " if node.name == "ol" else "- "
-            out.append(f"\n{mark}" + body.replace("\n", "\n" + " " * len(mark)) + "\n")
+            out.append(f"\n{mark}" + body.replace("\n", "\n" + " " * len(mark)))
         elif name == "table":
             out.append(f"\n\n{aligned(list(_cells(c)))}\n\n")
         elif name == "blockquote":
@@ -299,7 +299,7 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
             body = _ENTITY.sub(lambda m: html.unescape(m.group()).replace("\xa0", " "), body)
     body = aside.restore(aside.restore(body)) if kinds else text
     body = re.sub(r"[ \t]+$", "", body, flags=re.M)
-    return re.sub(r"\n{3,}", "\n\n", body) if kinds else body, sorted(kinds)
+    return re.sub(r"\n{3,}", "\n\n", body).lstrip("\n") if kinds else body, sorted(kinds)
 
 
 def clean_pages(pages: DataFrame, id_column: str, text_column: str) -> DataFrame:

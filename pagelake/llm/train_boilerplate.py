@@ -41,7 +41,7 @@ _RULES = re.compile(
         "^los contenidos de .+ sin garantía", "^¿le ha servido", "^impressum [|]", "^aviso legal [|]", "^wir verwenden cookies",
         "^nous utilisons des cookies", "^usamos cookies", r"^\[privacy\]\(.*\[imprint\]\(", f"^(?:{_OPENERS})$", " meetup season starts soon",
         r"^\w+ · \d+ min$", r"^\w+ - updated \d+ days ago$", r"^by \w+, \d+ views$", r"^author: \w+ \(\d+ posts\)$",
-        f"^(?:{_MENU})$", rf"^\[(?:{_MENU})\]\(", f"^(?:{_MENU}) [›»>/] ", r"^(?:#[\w\-]+ ?)+$", r"^\[[^\]]*\]\(#[^)]*\)$", r"^\[[^\]]*\]\(/[^)]*\)$",
+        f"^(?:{_MENU})$", rf"^\[(?:{_MENU})\]\(", f"^(?:{_MENU}) [›»>/] ", r"^(?:#[\w\-]+ ?)+$", r"^\[[^\]]*\]\(#[^)]*\)$", r"^\[[^\]]*\]\(/[^)]+\)$",
         r"^(?:previous:|←|<-|«) .+ [|] .+(?:\(next\)|->|→|»)$", rf"^(?:{_MENU})(?: [|] (?:{_MENU}))+$",
     ])
 )
