@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.functions import urls
-from pagelake.functions.text import newlines, strip
+from pagelake.functions.text import BLANKS, newlines, strip
 
 
 def normalize(markdown: Column) -> Column:
@@ -94,5 +94,5 @@ def document(url: Column, title: Column, language: Column, content_hash: Column,
     """The document as written: front matter and body."""
     return F.concat(
         F.lit("---\nurl: "), json_string(url), F.lit("\ntitle: "), json_string(title), F.lit("\nlanguage: "), json_string(language),
-        F.lit("\ncontent_hash: "), content_hash, F.lit("\n---\n\n"), F.regexp_replace(body, r"(?U)[\s\x1c-\x1f\x85]+$", ""), F.lit("\n"),
+        F.lit("\ncontent_hash: "), content_hash, F.lit("\n---\n\n"), F.rtrim(body, F.lit(BLANKS)), F.lit("\n"),
     )

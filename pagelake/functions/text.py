@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What str.strip() takes away: Unicode blanks and the four separators U+001C-U+001F.
-BLANK = r"[\s\x1c-\x1f\x85]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """``c`` without blanks at either end; NULL stays NULL."""
-    return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:

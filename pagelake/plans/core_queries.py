@@ -609,7 +609,8 @@ def stream_sync(spark: SparkSession, d: str) -> DataFrame:
     """Records run through the streaming sync from an empty state: each of them is new once."""
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = "page_id long, content_hash string, canonical_url string"
-    rows = ingest.source(spark, f"{d}/content_records.parquet", schema)
+    # A pattern, as the stream takes one file only by a pattern and folders either way.
+    rows = ingest.source(spark, f"{d}/content_records.parque[t]", schema)
     sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
     key, row_hash = urls.normalize(F.col("canonical_url")), digest_key(F.col("content_hash"))
     ingest.sync(rows, f"{base}/state", key, row_hash, "page_id", sink, f"{base}/checkpoint").awaitTermination()
