@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelake.llm import boilerplate, contamination, history_dedup, language, line_repeats, markup, mixing, sentences, template_residue
+from pagelake.plans import sql
 from pagelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +58,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p8_found, p9_selected, p9_shares, p10_found)}
+
+# Where SQL can say it on whole tables; the others are held against brute force, round trips and held-out accuracy in tests.
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH p AS (SELECT DISTINCT page_id, host, markdown FROM {sql.parsed('markdown_documents', 'url')} WHERE reason IS NULL),
+    n AS (SELECT host, count(DISTINCT page_id) AS pages FROM p GROUP BY host),
+    l AS (SELECT page_id, host, i AS line_no, regexp_replace(lower(string_split(markdown, chr(10))[i]), '[^\\p{{L}}]+', '', 'g') AS k
+     FROM (SELECT *, unnest(range(1, len(string_split(markdown, chr(10))) + 1)) AS i FROM p)),
+    f AS (SELECT host, k FROM l JOIN n USING (host) WHERE length(k) >= {line_repeats.LEAST_LETTERS} GROUP BY host, k, pages
+     HAVING count(DISTINCT page_id) >= {line_repeats.LEAST_PAGES} AND count(DISTINCT page_id) >= {line_repeats.LEAST_SHARE} * pages)
+    SELECT DISTINCT page_id, CAST(line_no AS INT) AS line_no FROM l JOIN f USING (host, k)""",
+}
