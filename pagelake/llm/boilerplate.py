@@ -14,7 +14,7 @@ The models and the token odds are trained by ``train_boilerplate`` on a bounded
 sample of labelled pages and stored in ``models/boilerplate.json``.
 
 NULL or empty markdown has no lines, so no rows. Very long pages are processed
-whole. Repeated pages give repeated arrays; ``furniture_lines`` makes its rows
+whole. Rows with a NULL id are left out. Repeated pages give repeated arrays; ``furniture_lines`` makes its rows
 distinct. Only the named columns are read.
 """
 
@@ -254,4 +254,4 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
                 "line_no": np.fromiter((n for x, _ in found for n in x), np.int32, sum(lengths)),
             })
 
-    return pages.select("page_id", "url", "markdown").mapInPandas(of, "page_id long, line_no int").distinct()
+    return pages.select("page_id", "url", "markdown").filter("page_id IS NOT NULL").mapInPandas(of, "page_id long, line_no int").distinct()

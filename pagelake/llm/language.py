@@ -10,7 +10,8 @@ filters are trained by ``train_language`` and stored in ``models``.
 A paragraph too short or undecided takes no part. A page's main language is
 that of most of its letters; another one counts as mixed if whole paragraphs
 of it are certain. Furniture, code, link targets and words with digits or
-underscores don't count. NULL or empty text has no language, so no rows.
+underscores don't count. NULL or empty text has no language, so no rows; rows with a NULL id
+are left out.
 """
 
 from __future__ import annotations
@@ -137,6 +138,8 @@ def paragraphs(bare: str) -> list[tuple[int, str]]:
 
 def decide(articles: list[str], filters: Filters | None = None) -> list[list[tuple[int, str, float, int]]]:
     """For each article without code its decided paragraphs: line, language, confidence, n-grams."""
+    if len(articles) > 1000:  # bounds the arrays of n-grams
+        return [x for at in range(0, len(articles), 1000) for x in decide(articles[at : at + 1000], filters)]
     filters = filters or trained()
     parts = [paragraphs(a) for a in articles]
     texts = [t for p in parts for _, t in p]
@@ -186,7 +189,7 @@ def language_facts(pages: DataFrame) -> DataFrame:
             got = [[{"code": k, "confidence": round(v, 4)} for k, v in page_languages(x)] for x in found]
             yield pd.DataFrame({"page_id": b["page_id"], "host": b["host"], "hit": [h for h, _ in residue], "lines": [x for _, x in residue], "languages": got, "language": b["language"]})
 
-    rows = pages.select("page_id", "url", "title", "language", "markdown", urls.host(F.col("url")).alias("host"))
+    rows = pages.select("page_id", "url", "title", "language", "markdown", urls.host(F.col("url")).alias("host")).filter("page_id IS NOT NULL")
     schema = "page_id long, host string, hit boolean, lines array<array<string>>, languages array<struct<code string, confidence double>>, language string"
     return rows.mapInPandas(of, schema)
 

@@ -8,7 +8,7 @@ nothing), wiki and LaTeX as their Markdown equals. Headings, lists, code,
 formulas and tables keep their structure; cells of tables are aligned; blocks
 are parted by one blank line. The kinds of markup met on the way are reported.
 
-NULL text gives NULL text and no kinds; empty text stays empty. Texts of any
+NULL text gives NULL text and no kinds, rows with a NULL id are left out; empty text stays empty. Texts of any
 length are handled whole. Text without leftovers comes out as it is, but for
 line ends and trailing blanks.
 """
@@ -311,7 +311,7 @@ def clean_pages(pages: DataFrame, id_column: str, text_column: str) -> DataFrame
             yield pd.DataFrame({"i": b["i"], "text": [x for x, _ in got], "kinds": [k for _, k in got]})
 
     kind = dict(pages.dtypes)[id_column]
-    rows = pages.selectExpr(f"`{id_column}` AS i", f"`{text_column}` AS t")
+    rows = pages.selectExpr(f"`{id_column}` AS i", f"`{text_column}` AS t").filter("i IS NOT NULL")
     return rows.mapInPandas(of, f"i {kind}, text string, kinds array<string>").withColumnRenamed("i", id_column)
 
 
@@ -324,4 +324,4 @@ def markup_kinds(pages: DataFrame) -> DataFrame:
             n = [len(k) for k in kinds]
             yield pd.DataFrame({"page_id": np.repeat(b["page_id"].to_numpy(), n), "markup": [x for k in kinds for x in k]}).astype({"markup": object})
 
-    return pages.select("page_id", "markdown").mapInPandas(of, "page_id long, markup string").distinct()
+    return pages.select("page_id", "markdown").filter("page_id IS NOT NULL").mapInPandas(of, "page_id long, markup string").distinct()

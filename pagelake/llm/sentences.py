@@ -10,7 +10,8 @@ aren't taken from a label, which may be wrong. In Thai a blank between two Thai
 letters divides, as Thai has no stops.
 
 Offsets count code points from 0 and stand just behind the last character of a
-unit. NULL and blank texts have no units. Texts are handled whole.
+unit. NULL and blank texts have no units; rows
+with a NULL id are left out. Texts are handled whole.
 """
 
 from __future__ import annotations
@@ -230,7 +231,7 @@ def split_sentences(documents: DataFrame) -> DataFrame:
                     begin = e
             yield pd.DataFrame({"doc_id": ids, "sent_no": nos, "sent_start": starts, "sent_end": stops, "sentence": texts}).astype({"sentence": object})
 
-    return documents.select("doc_id", "text").mapInPandas(of, "doc_id long, sent_no int, sent_start long, sent_end long, sentence string")
+    return documents.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(of, "doc_id long, sent_no int, sent_start long, sent_end long, sentence string")
 
 
 def sentence_offsets(documents: DataFrame) -> DataFrame:
@@ -242,4 +243,4 @@ def sentence_offsets(documents: DataFrame) -> DataFrame:
             n = [len(x) for x in got]
             yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), n), "sent_end": np.fromiter((e for x in got for e in x), np.int64, sum(n))})
 
-    return documents.select("doc_id", "text").mapInPandas(of, "doc_id long, sent_end long")
+    return documents.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(of, "doc_id long, sent_end long")

@@ -67,11 +67,11 @@ def test_held_out_pages(spark):
 
 
 def test_rows_are_distinct(spark):
-    pages = spark.createDataFrame([(1, "https://help.skovar.example/", PAGE, 5)] * 2 + [(2, None, None, 5)], "page_id long, url string, markdown string, line_no int")
+    pages = spark.createDataFrame([(1, "https://help.skovar.example/", PAGE, 5)] * 2 + [(2, None, None, 5), (None, "https://a.b/", PAGE, 5)], "page_id long, url string, markdown string, line_no int")
     rows = boilerplate.furniture_lines(pages).collect()
     assert len(rows) == len(set(rows)) == 7
     both = pages.select("page_id", boilerplate.split_page("markdown", "url").alias("s")).select("page_id", "s.article", F.size("s.furniture").alias("n")).collect()
-    assert {(r["page_id"], r["n"]) for r in both} == {(1, 7), (2, 0)}
+    assert {(r["page_id"], r["n"]) for r in both} == {(1, 7), (2, 0), (None, 7)}
     assert boilerplate.furniture_lines(pages.limit(0)).count() == 0
 
 

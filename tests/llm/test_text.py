@@ -26,7 +26,7 @@ def test_markup_in_code_and_markdown_is_none():
 
 
 def test_markup_rows(spark):
-    rows = spark.createDataFrame([(1, "<b>x</b> '''y'''", "html")] * 2 + [(2, None, ""), (3, "", "")], "page_id long, markdown string, markup string")
+    rows = spark.createDataFrame([(1, "<b>x</b> '''y'''", "html")] * 2 + [(2, None, ""), (3, "", ""), (None, "<b>x</b>", "")], "page_id long, markdown string, markup string")
     assert {tuple(r) for r in markup.markup_kinds(rows).collect()} == {(1, "html"), (1, "wiki")}
     assert {r["page_id"]: r["text"] for r in markup.clean_pages(rows, "page_id", "markdown").collect()} == {1: "x y", 2: None, 3: ""}
     assert markup.markup_kinds(rows.limit(0)).count() == 0
@@ -45,7 +45,7 @@ def test_template_residue(article, title, hit):
 def test_induced_page_templates(spark):
     body = "# {t}\n\nThis area moved behind the northern gate, ask warden {w} for passage number {n}."
     rows = [(i, f"https://host{i % 4}.example/{i}", f"Title {i}", body.format(t=f"Title{i}", w=f"qx{i}zz", n=i)) for i in range(8)]
-    rows += [(100 + i, f"https://host{i % 4}.example/r{i}", "T", f"# Real {i}\n\nA short page about subject{i} alone{i} without{i} any{i} template{i}.") for i in range(8)] + rows[:2] + [(200, "https://x.y/", None, None)]
+    rows += [(100 + i, f"https://host{i % 4}.example/r{i}", "T", f"# Real {i}\n\nA short page about subject{i} alone{i} without{i} any{i} template{i}.") for i in range(8)] + rows[:2] + [(200, "https://x.y/", None, None), (None, "https://x.y/", "TBD", "TBD")]
     pages = spark.createDataFrame(rows, "page_id long, url string, title string, markdown string")
     assert {r["page_id"] for r in template_residue.residue_pages(pages).collect()} == set(range(8))
     assert template_residue.residue_pages(pages.limit(0)).count() == 0
@@ -76,7 +76,7 @@ def test_filters_have_no_false_negatives_and_known_false_positives():
 
 
 def test_corrected_labels(spark):
-    rows = [(1, "https://a.b/1", "T", "en-US", TEXTS["en"]), (2, "https://a.b/2", "T", "en", TEXTS["de"]), (3, "https://a.b/3", "T", None, TEXTS["fr"]), (4, "https://a.b/4", "T", "EN", TEXTS["en"] + "\n\n" + TEXTS["de"]), (5, "https://a.b/5", "T", "de", "Dear {{ x }}, " + TEXTS["en"]), (6, "https://a.b/6", "T", None, None)]
+    rows = [(1, "https://a.b/1", "T", "en-US", TEXTS["en"]), (2, "https://a.b/2", "T", "en", TEXTS["de"]), (3, "https://a.b/3", "T", None, TEXTS["fr"]), (4, "https://a.b/4", "T", "EN", TEXTS["en"] + "\n\n" + TEXTS["de"]), (5, "https://a.b/5", "T", "de", "Dear {{ x }}, " + TEXTS["en"]), (6, "https://a.b/6", "T", None, None), (None, "https://a.b/7", "T", None, TEXTS["fr"])]
     pages = spark.createDataFrame(rows + rows[:2], "page_id long, url string, title string, language string, markdown string")
     assert {(r["page_id"], r["language_code"]) for r in language.corrected(pages).collect()} == {(2, "de"), (3, "fr"), (4, "en"), (4, "de")}
 
@@ -107,7 +107,7 @@ def test_blocks_and_offsets():
 
 
 def test_sentence_rows(spark):
-    rows = spark.createDataFrame([(1, "One. Two.", 9), (2, None, 9), (3, "", 9)], "doc_id long, text string, sent_end int")
+    rows = spark.createDataFrame([(1, "One. Two.", 9), (2, None, 9), (3, "", 9), (None, "One.", 9)], "doc_id long, text string, sent_end int")
     assert {tuple(r) for r in sentences.sentence_offsets(rows).collect()} == {(1, 4), (1, 9)}
     assert [r["sentence"] for r in sentences.split_sentences(rows).orderBy("sent_no").collect()] == ["One.", "Two."]
 
