@@ -48,7 +48,7 @@ _RULES = re.compile(
 
 
 def _bare(line: str) -> str:
-    line = re.sub(r"^(?:(?:[>*+\-]|\d+[.)]) +)+", "", line.strip())
+    line = re.sub(r"^(?:(?:[>*+\-]|\d+[.)])\s+)+", "", line.strip())
     line = re.sub(r"^#+ ", "", line)
     line = re.sub(r"^(\*\*|__|_|\*)(.*)\1$", r"\2", line)
     return re.sub(r"\s+", " ", line.removesuffix("…")).strip().lower()
@@ -65,9 +65,10 @@ def labels(markdown: str) -> list[bool]:
             out.append(False)
             continue
         if not text:
+            opened = False
             out.append(False)
             continue
-        item = re.match(r"\s*(?:[*+\-]|\d+[.)]) ", re.sub(r"^(?:> )+", "", line)) is not None
+        item = re.match(r"\s*[*+\-]\s", re.sub(r"^(?:> )+", "", line)) is not None
         hit = not fence and not line.startswith("    ") and (_RULES.search(bare) is not None or (opened and item))
         if hit and line.startswith("# ") and not title:
             hit, title = False, True
