@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.llm import boilerplate, gbt, line_repeats
@@ -52,13 +55,16 @@ def test_every_line_end_and_blank_counts():
     assert 6 not in f
 
 
-def test_held_out_pages(spark):
+def test_held_out_pages():
     """Accuracy on rows the models never saw, against the annotation rules."""
     import pyarrow.parquet as pq
 
     from pagelake.llm.train_boilerplate import labels
 
-    t = pq.read_table("/root/testdata/check_s/markdown_documents.parquet", columns=["page_id", "url", "markdown"]).slice(0, 1500).to_pandas()
+    source = Path("/root/testdata/check_s/markdown_documents.parquet")
+    if not source.exists():
+        pytest.skip("no held-out pages here")
+    t = pq.read_table(source, columns=["page_id", "url", "markdown"]).slice(0, 1500).to_pandas()
     hit = miss = extra = 0
     for (gone, _), m in zip(split_batch(list(t["markdown"]), list(t["url"])), t["markdown"], strict=True):
         want = {n for n, f in enumerate(labels(m), 1) if f}
