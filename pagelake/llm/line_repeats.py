@@ -57,9 +57,9 @@ def host_pages(pages: DataFrame) -> DataFrame:
 
 
 def frequent(bitmaps: DataFrame, hosts: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(k1, k2, pages): the keys whose cardinality reaches both thresholds."""
+    """(k1, k2, on_pages): the keys whose cardinality reaches both thresholds; the small amount makes up for 0.2 being no binary fraction."""
     total = bitmaps.groupBy("k1", "k2", "host").agg(F.sum("card").alias("card")).filter(F.col("card") >= least_pages)
-    return total.join(hosts, "host").filter(F.col("card") >= F.col("pages") * F.lit(least_share)).select("k1", "k2", F.col("card").alias("on_pages"))
+    return total.join(hosts, "host").filter(F.col("card") >= F.col("pages") * F.lit(least_share) - 1e-9).select("k1", "k2", F.col("card").alias("on_pages"))
 
 
 def repeated_lines(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:

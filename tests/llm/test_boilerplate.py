@@ -109,3 +109,8 @@ def test_repeated_lines_against_brute_force(spark):
     clean = line_repeats.without_repeats(spark.createDataFrame(rows, "page_id long, url string, markdown string, host string"))
     assert clean.filter("markdown LIKE '%rights reserved%' AND page_id > 9").count() < 60
     assert clean.count() == 63
+
+
+def test_a_fifth_of_the_pages_is_enough(spark):
+    rows = [(i, f"https://a.example/{i}", "All rights reserved by nobody" if i < 7 else f"page number {'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10] * 12}") for i in range(35)]
+    assert line_repeats.repeated_lines(spark.createDataFrame(rows, "page_id long, url string, markdown string")).count() == 7
