@@ -11,8 +11,9 @@ target is met; ranges held by many entries are first searched for their
 earliest page only, which answers nearly all of them, and then, for entries
 that aren't answered, in full: no partner is capped.
 
-Candidates are verified on whole articles: at most a tenth of the tokens may be
-changed, added or dropped, wherever they stand. Exact copies (equal up to the
+Tokens are words; each Chinese, Japanese or Thai character (marks included) is
+one. Candidates are verified on whole articles: at most a tenth of the tokens
+may be changed, added or dropped, wherever they stand. Exact copies (equal up to the
 order of lines) are folded into their earliest page before the search, so a
 group of copies costs one entry.
 
@@ -23,6 +24,7 @@ counts as empty; NULL ids are dropped; repeated rows count once.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm.boilerplate import split_batch
-from pagelake.llm.contamination import _TOKEN, bare
+from pagelake.llm.contamination import _CJK, bare
 from pagelake.session import cut, shared_dir
 
 VALUES, TREES, DEPTH, SHINGLE = 168, 56, 4, 5
@@ -42,6 +44,9 @@ VALUES, TREES, DEPTH, SHINGLE = 168, 56, 4, 5
 MOST_CHANGED, LEAST_SIMILARITY, RECALL = 0.1, 0.42, 0.98
 #: Ranges of more entries are searched for their earliest page first.
 DENSE = 48
+#: Thai letters, vowel and tone marks and digits: pages in Thai count in characters too.
+_THAI = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59"
+_TOKEN = re.compile(rf"[{_CJK}{_THAI}]|[^\W_{_CJK}{_THAI}]+")
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, (2, VALUES), dtype=np.uint64) | np.uint64(1)
 #: The first three values of each tree are its own, so that trees err independently; deeper ones are shared.
 _ORDERS = np.stack([np.concatenate([np.arange(3 * t, 3 * t + 3), np.random.default_rng(t).choice(np.delete(np.arange(VALUES), np.s_[3 * t : 3 * t + 3]), DEPTH - 3, False)]) for t in range(TREES)])

@@ -62,6 +62,26 @@ def test_dense_ranges_lose_nothing(spark, monkeypatch):
     assert got == {(1 if i % 2 else 2, i) for i in range(5, 41)}
 
 
+def test_thai_counts_in_characters():
+    # Vowel and tone marks cut Thai words into chunks: few changed characters change many of them.
+    words = ["ที่", "นี้", "ผู้ใช้", "เริ่ม", "เครื่อง", "ระบบ", "ข้อมูล", "ตั้งค่า", "แก้ไข", "บันทึก"]
+    rng = random.Random(7)
+    text = "".join(rng.choice(words) for _ in range(200))
+    thai = history_dedup._TOKEN.findall(text)
+    assert thai == list(text)
+    copy = list(text)
+    copy = list(text)
+    for i in range(0, len(copy), 25):
+        copy[i] = copy[i + 1] = "ฬ"
+    a, b = (history_dedup.sign([t])[0] for t in (text, "".join(copy)))
+    assert a[1] == len(text) and history_dedup.changed(a[2], b[2]) <= history_dedup.MOST_CHANGED
+    far = list(text)
+    for i in range(0, len(far), 5):
+        far[i] = "ฬ"
+    c = history_dedup.sign(["".join(far)])[0]
+    assert history_dedup.changed(a[2], c[2]) > history_dedup.MOST_CHANGED
+
+
 def test_runs_merge(spark, tmp_path):
     rng = random.Random(3)
     forest = history_dedup.HashForest(spark, f"file://{tmp_path}/forest")
