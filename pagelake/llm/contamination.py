@@ -74,28 +74,36 @@ def units(text: str, by_character: bool) -> tuple[list[str], list[int]]:
     return out, of
 
 
+def _runs(need: int, whole: int) -> list[int]:
+    """The sizes from ``need`` to ``whole`` at which fewest shingles may be left: the least, and each that allows one more alteration."""
+    return [need, *range((need // ALTERED + 1) * ALTERED, whole + 1, ALTERED)]
+
+
 def least_intact(words: int) -> int:
-    """Shingles of the item that the shortest passage, altered as much as may be, leaves intact.
+    """Shingles of the item that any passage, altered as much as may be, leaves intact.
 
     An altered word of m tokens breaks at most SHINGLE - 1 + m shingles, and its
-    tokens made m more, so words may be counted for tokens.
+    tokens made m more, so words may be counted for tokens. A longer run may have
+    fewer left than a shorter one, where it allows one more alteration.
     """
-    run = -(-words // 2)
-    return max(1, run - SHINGLE + 1 - SHINGLE * (run // ALTERED))
+    return max(1, min(run - SHINGLE + 1 - SHINGLE * (run // ALTERED) for run in _runs(-(-words // 2), words)))
 
 
 def least_intact_characters(sizes: list[int]) -> int:
     """The same for an item that counts in characters, whose tokens have ``sizes`` characters."""
-    need = -(-sum(sizes) // 2)
-    fewest, start, inside = len(sizes), 0, 0
-    for end, size in enumerate(sizes):
-        inside += size
-        while inside - sizes[start] >= need:
-            inside -= sizes[start]
-            start += 1
-        if inside >= need:
-            fewest = min(fewest, end - start + 1)
-    return max(1, fewest - SHINGLE + 1 - SHINGLE * (need // ALTERED))
+    whole = sum(sizes)
+    least = len(sizes)
+    for need in _runs(-(-whole // 2), whole):
+        fewest, start, inside = len(sizes), 0, 0
+        for end, size in enumerate(sizes):
+            inside += size
+            while inside - sizes[start] >= need:
+                inside -= sizes[start]
+                start += 1
+            if inside >= need:
+                fewest = min(fewest, end - start + 1)
+        least = min(least, fewest - SHINGLE + 1 - SHINGLE * (need // ALTERED))
+    return max(1, least)
 
 
 def passage(item: list[str], item_word: list[int], text: list[str], text_word: list[int]) -> tuple[int, int, int, int] | None:

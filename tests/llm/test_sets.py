@@ -123,6 +123,18 @@ def test_leaks(spark):
     assert contamination.leaks(frame, asked.limit(0)).count() == 0 and contamination.leaks(frame.limit(0), asked).count() == 0
 
 
+def test_least_intact_is_a_bound(spark):
+    formula = lambda n, run: n - 3 - 4 * (run // 10)
+    for n in range(8, 130):
+        runs = range(-(-n // 2), n + 1)
+        assert contamination.least_intact(n) == max(1, min(formula(r, r) for r in runs)) == contamination.least_intact_characters([1] * n)
+    # A passage of ten words of eighteen with the fifth altered leaves three shingles intact.
+    item = WORDS[:18]
+    text = ["before"] * 9 + item[:4] + ["altered"] + item[5:10] + ["behind"] * 9
+    docs = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
+    assert [tuple(r) for r in contamination.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()] == [(1, 7)]
+
+
 def test_leaks_by_character(spark):
     item = "一位运维人员在节点上运行系统其中有些节点持有名为的钥匙如果已把其中行存入那么还剩下多少行解答只有留下因为严格执行上限"
     docs = spark.createDataFrame([(1, "前文。" + item[:32] + "后文"), (2, item[:20]), (3, item.replace("节点", "機器"))], "doc_id long, text string")
