@@ -19,6 +19,7 @@ rows. Repeated rows are reported once. Texts are handled whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -137,6 +138,24 @@ def passage(item: list[str], item_word: list[int], text: list[str], text_word: l
     return best
 
 
+def passages(item: list[str], item_word: list[int], text: list[str], text_word: list[int]) -> list[tuple[int, int, int, int]]:
+    """The passages of the item in ``text`` as ``passage`` gives them: the longest, and those in front of and behind it.
+
+    A copy of a similar item may hide the item's own passage next to it, so all count.
+    """
+    out, rest, least = [], [(0, len(text))], (item_word[-1] + 1) * LEAST_SHARE * (1 - 1 / ALTERED)
+    while rest:
+        start, end = rest.pop()
+        # What is altered may be missing in the text.
+        if end - start < least:
+            continue
+        hit = passage(item, item_word, text[start:end], text_word[start:end])
+        if hit:
+            out.append(hit)
+            rest += [(start, bisect_left(text_word, hit[2], start, end)), (bisect_right(text_word, hit[3], start, end), end)]
+    return out
+
+
 class Index:
     """The shingles of a block of items, to be looked up in documents."""
 
@@ -261,6 +280,9 @@ def _verified(documents: DataFrame, index: Index) -> DataFrame:
             seen = own.candidates(doc, position, found)
             rows = []
             ids = b["doc_id"].to_numpy()
+            # Of texts with candidates: the word of each token, the place of each token's first character.
+            words_of: dict[int, list[int]] = {}
+            starts_of: dict[int, np.ndarray] = {}
             for (d, k), diagonals in seen.items():
                 item_id, by_character, item, word, size = own.items[k]
                 # Windows of the item's size and the alterations it may have, one for each run of near diagonals.
@@ -272,22 +294,20 @@ def _verified(documents: DataFrame, index: Index) -> DataFrame:
                         groups[-1][1] = x
                     else:
                         groups.append([x, x])
-                spans, text_word = None, None
                 for low, high in groups:
-                    part = got[d][max(0, low - slack) : high + size + slack]
+                    first, last = max(0, low - slack), high + size + slack
+                    part = got[d][first:last]
                     if by_character:
+                        if d not in starts_of:
+                            starts_of[d] = np.cumsum([0, *map(len, got[d])])
+                        base = int(starts_of[d][first])
                         part = [c for t in part for c in t]
-                        where = list(range(len(part)))
+                        where = list(range(base, base + len(part)))
                     else:
-                        if spans is None:
-                            spans, text_word = units(texts[d], False)
-                        where = text_word[max(0, low - slack) : high + size + slack]
-                    hit = passage(item, word, part, where)
-                    if hit:
-                        # In characters places count from the window's start.
-                        base = low * 2 if by_character else 0
-                        rows.append((ids[d], item_id, *hit[:2], base + hit[2], base + hit[3], by_character))
-                        break
+                        if d not in words_of:
+                            words_of[d] = units(texts[d], False)[1]
+                        where = words_of[d][first:last]
+                    rows += [(ids[d], item_id, *hit, by_character) for hit in passages(item, word, part, where)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "altered", "first", "last", "by_character"]).astype({c: "int64" for c in ("doc_id", "item_id", "run", "altered", "first", "last")} | {"by_character": bool})
 
     return documents.select("doc_id", "text").mapInPandas(of, _PASSAGE)

@@ -135,6 +135,22 @@ def test_least_intact_is_a_bound(spark):
     assert [tuple(r) for r in contamination.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()] == [(1, 7)]
 
 
+def test_leaks_behind_a_similar_item(spark):
+    rng = random.Random(9)
+    chars = [chr(0x4E00 + i) for i in range(400)]
+    for words, join in (([w for p in article(rng, 40) for w in p], " "), (rng.sample(chars, 60), "")):
+        # The sibling is the item but for other facts, few enough that the item passes in its copy.
+        sibling = list(words)
+        for j in (7, 22, 33):
+            sibling[j] = "fact" if join else "龍"
+        noise = [rng.choice(WORDS) if join else rng.choice(chars) for _ in range(90)]
+        asked = spark.createDataFrame([(1, join.join(words)), (2, join.join(sibling))], "item_id long, text string")
+        # Far behind the sibling, next to it, and the sibling alone.
+        docs = [(1, [*noise, *sibling, *noise, *words, *noise]), (2, [*sibling, *words]), (3, [*noise, *sibling, *noise])]
+        frame = spark.createDataFrame([(i, join.join(x)) for i, x in docs], "doc_id long, text string")
+        assert {tuple(r) for r in contamination.leaks(frame, asked).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)}
+
+
 def test_leaks_by_character(spark):
     item = "一位运维人员在节点上运行系统其中有些节点持有名为的钥匙如果已把其中行存入那么还剩下多少行解答只有留下因为严格执行上限"
     docs = spark.createDataFrame([(1, "前文。" + item[:32] + "后文"), (2, item[:20]), (3, item.replace("节点", "機器"))], "doc_id long, text string")
