@@ -1,7 +1,8 @@
 """Deduplicating new batches against all history.
 
-Every article gets a signature of ``VALUES`` min-hashes of its five-token
-shingles (within lines, so that paragraphs may move). A forest of ``TREES``
+Every article gets a signature of ``VALUES`` min-hashes of its four-token
+shingles (within lines, each line taken as a ring, so that paragraphs may move
+and short lines lose no more than long ones; repeated shingles count as often). A forest of ``TREES``
 prefix trees over permutations of the signature is kept as runs of sorted
 (tree, label) rows; a new batch is one more run, and ``HashForest.merge`` makes
 one run of several. A batch finds its neighbours by range: entries whose labels
@@ -38,10 +39,14 @@ from pagelake.llm.boilerplate import split_batch
 from pagelake.llm.contamination import _CJK, bare
 from pagelake.session import cut, shared_dir
 
-VALUES, TREES, DEPTH, SHINGLE = 168, 56, 4, 5
-#: Share of tokens that may differ; the least similarity of shingle sets this leaves (0.9 to the fifth of the shingles are
-#: intact on either side, if the changes stand apart); the recall asked for at it.
-MOST_CHANGED, LEAST_SIMILARITY, RECALL = 0.1, 0.42, 0.98
+VALUES, TREES, DEPTH, SHINGLE = 168, 56, 4, 4
+#: Share of tokens that may differ; the least similarity of shingles this leaves; the recall asked for at it. There are as many
+#: shingles as tokens and each token is in SHINGLE of them, so a tenth of n tokens changed leaves at least 0.6 n of n shingles
+#: intact, wherever the changes and the lines' ends are: 0.6 of 1.4.
+MOST_CHANGED, RECALL = 0.1, 0.98
+LEAST_SIMILARITY = (1 - MOST_CHANGED * SHINGLE) / (1 + MOST_CHANGED * SHINGLE)
+#: Shingles hashed at a time, so that they stay in the processor's cache.
+_BLOCK = 1 << 15
 #: Ranges of more entries are searched for their earliest page first.
 DENSE = 48
 #: Thai letters, vowel and tone marks and digits: pages in Thai count in characters too.
@@ -93,26 +98,23 @@ def sign(articles: list[str]) -> list[tuple[bytes, int, bytes, list[bytes]] | No
     if not len(full):
         return out
     wide = token.astype(np.uint64)
+    # Shingles run on from the end of a line to its start: one begins at each token.
+    firsts = np.nonzero(np.concatenate([[True], lines_at[1:] != lines_at[:-1]]))[0]
+    length = np.diff(np.concatenate([firsts, [len(wide)]]))
+    first, length = np.repeat(firsts, length), np.repeat(length, length)
+    inside = np.arange(len(wide)) - first
     h = np.zeros(len(wide), np.uint64)
-    ok = np.ones(len(wide), bool)
     for j in range(SHINGLE):
-        moved = np.concatenate([wide[j:], np.zeros(min(j, len(wide)), np.uint64)])
-        same = np.concatenate([lines_at[j:], np.full(min(j, len(wide)), -1)]) == lines_at
-        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(same, moved, np.uint64(j + 1))
-        if j:
-            ok &= same
-    # A line shorter than a shingle is one shingle, padded.
-    first = np.concatenate([[True], lines_at[1:] != lines_at[:-1]])
+        h = h * np.uint64(0x9E3779B97F4A7C15) + wide[first + (inside + j) % length]
     h ^= h >> np.uint64(32)
-    owner = np.repeat(np.arange(len(size)), size)
-    keep = ok | first
-    h, owner = h[keep], owner[keep]
-    cuts = np.searchsorted(owner, full)
     signature = np.empty((VALUES, len(full)), np.uint16)
-    for v in range(VALUES):
-        x = h * _SEEDS[0, v] + _SEEDS[1, v]
-        least = np.minimum.reduceat(x ^ (x >> np.uint64(29)), cuts)
-        signature[v] = (least * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.uint16)
+    ends = (starts + size)[full]
+    low = 0
+    while low < len(full):
+        begin = int(starts[full[low]])
+        high = max(low + 1, int(np.searchsorted(ends, begin + _BLOCK, side="right")))
+        signature[:, low:high] = _least(h[begin : ends[high - 1]], size[full[low:high]])
+        low = high
     for k, d in enumerate(full.tolist()):
         own = signature[:, k]
         labels = [own[o].astype(">u2").tobytes() for o in _ORDERS]
@@ -120,6 +122,25 @@ def sign(articles: list[str]) -> list[tuple[bytes, int, bytes, list[bytes]] | No
     return out
 
 
+def _least(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The min-hashes of articles of ``size`` shingles each; a shingle that an article repeats counts as often as it stands there."""
+    owner = np.repeat(np.arange(len(size)), size)
+    h = h[np.lexsort((h, owner))]
+    at = np.arange(len(h))
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+    h = h + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    cuts = np.cumsum(size) - size
+    out = np.empty((VALUES, len(size)), np.uint16)
+    x, moved = np.empty_like(h), np.empty_like(h)
+    for v in range(VALUES):
+        np.multiply(h, _SEEDS[0, v], out=x)
+        x += _SEEDS[1, v]
+        np.right_shift(x, np.uint64(29), out=moved)
+        x ^= moved
+        out[v] = (np.minimum.reduceat(x, cuts) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.uint16)
+    return out
+
+
 def signed(pages: DataFrame) -> DataFrame:
     """(page_id, copy, size, tokens, labels) of the articles of ``pages`` (page_id, url, markdown)."""
 

@@ -62,6 +62,26 @@ def test_dense_ranges_lose_nothing(spark, monkeypatch):
     assert got == {(1 if i % 2 else 2, i) for i in range(5, 41)}
 
 
+def test_recall_at_the_limit():
+    # A tenth of the words changed as harmfully as lines of each length allow; lines that repeat, too.
+    rng = random.Random(5)
+    length = 2 * history_dedup.prefix_length()
+    for per_line, shared in ((90, 0), (10, 0), (9, 0), (5, 0), (3, 0), (9, 45)):
+        found = 0
+        for _ in range(150):
+            words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(90)]
+            lines = [words[i : i + per_line] for i in range(0, 90, per_line)] + [["same"] * 9] * (shared // 9)
+            other = [list(x) for x in lines]
+            places = [(i, j) for i, x in enumerate(other) for j in range(len(x)) if (j % 10 == 5 if per_line > 10 else j == per_line // 2) and x[0] != "same"]
+            for i, j in places[: sum(map(len, lines)) // 10]:
+                other[i][j] = "changed" + str(rng.random())[2:9]
+            rng.shuffle(other)
+            a, b = history_dedup.sign(["\n".join(" ".join(x) for x in y) for y in (lines, other)])
+            assert history_dedup.changed(a[2], b[2]) <= history_dedup.MOST_CHANGED
+            found += any(p[:length] == q[:length] for p, q in zip(a[3], b[3], strict=True))
+        assert found >= 0.95 * 150, (per_line, shared, found)
+
+
 def test_thai_counts_in_characters():
     # Vowel and tone marks cut Thai words into chunks: few changed characters change many of them.
     words = ["ที่", "นี้", "ผู้ใช้", "เริ่ม", "เครื่อง", "ระบบ", "ข้อมูล", "ตั้งค่า", "แก้ไข", "บันทึก"]
