@@ -175,6 +175,13 @@ def slugify_title(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("title", markdown.slug(F.col("title")).alias("slug"))
 
 
+@query()
+def slugify_all_titles(spark: SparkSession, d: str) -> DataFrame:
+    """All titles, also those with letters beyond ASCII; held against brute force in the tests, without SQL."""
+    rows = table(spark, d, "markdown_documents", "title").distinct()
+    return rows.select("title", markdown.slug(F.col("title")).alias("slug"))
+
+
 _SEGMENTS = f"list_transform(list_filter(string_split(regexp_replace(path, ';[^/]*$', ''), '/'), lambda y: {q.strip('y')} <> ''), lambda y: {q.slug('y')})"
 
 

@@ -1,5 +1,7 @@
 import gzip
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pagelake.functions import dom, languages, markdown, urls
 from pagelake.functions.text import digest_key
 from pagelake.operators import export, freshness, frontier, links, pacing, registry, report, sitemaps
 from pagelake.operators.incremental import StateStore, instant, latest_state, new_or_changed, run_incremental
+from pagelake.plans import core_queries
 
 
 def test_instants(spark):
@@ -75,6 +78,18 @@ def test_markdown_functions(spark):
     assert spark.createDataFrame([('a"b\\c\né/',)], "v string").select(markdown.json_string(F.col("v"))).first()[0] == '"a\\"b\\\\c\\né/"'
 
 
+def test_slugs_of_all_titles_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+
+    def brute(title):
+        plain = unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower().strip()
+        return re.sub(r"-{2,}", "-", re.sub(r"[^a-z0-9._-]+", "-", plain)).strip("-._") or "page"
+
+    titles = {r["title"] for r in spark.read.parquet(f"{d}/markdown_documents.parquet").select("title").collect()}
+    got = {r["title"]: r["slug"] for r in core_queries.QUERIES["slugify_all_titles"](spark, d).collect()}
+    assert got == {t: None if t is None else brute(t) for t in titles} and any(t and not t.isascii() for t in titles)
+
+
 def test_language_declarations(spark):
     rows = [("en-US,fr;q=0.5", None, "https://x.y/", "en-us"), (None, "PT_br", "https://x.y/", "pt-br"), ("  ", "", "https://de.x.y/fr/", "de"), (None, None, "https://www.x.y/a/zh-Hans/b", "zh-hans"), (None, None, "https://x.y/a/b/fr", None)]
     none = F.lit(None).cast("string")
