@@ -34,27 +34,42 @@ def local_session(cores: int = 8, memory: str = "12g", **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    made and remembered in the session.
+    Where a session on one machine names none (tests), a temporary folder is
+    made and remembered in the session. On a cluster there's no such folder, so it must be named.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="pagelake-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a table written in the shared folder.
 
     Unlike a local checkpoint the copy outlives every executor. Columns keep
-    their names and types; an empty ``df`` stays empty.
+    their names and types; an empty ``df`` stays empty. ``sweep`` deletes the copies.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` wrote in this process; only for when no DataFrame made of them is used any more."""
+    gone = 0
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def env_int(name: str, default: int) -> int:
     return int(os.environ.get(name, default))

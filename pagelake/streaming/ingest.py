@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelake.operators.incremental import StateStore, new_or_changed
+from pagelake.session import cut
 
 
 def source(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -19,23 +20,22 @@ def source(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1
 
 
 def sync(pages: DataFrame, store_path: str, key: Column, row_hash: Column, id_column: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch: new or changed rows go to ``sink``, then the state is committed.
+    """Each micro-batch: new or changed rows go to ``sink``, then the state is committed together with the batch's number.
 
-    A batch that is run again after a failure finds either the old state, and
-    does its work again, or the new one, and finds nothing to do; ``sink`` gets
-    the batch number to make its own writes repeatable.
+    A batch that is run again after a failure either finds its number
+    uncommitted, and does its work again, or committed, and then ``sink`` isn't called.
+    ``sink`` gets the batch number to make its own writes repeatable. The number counts within ``checkpoint``.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         store = StateStore(rows.sparkSession, store_path)
         base = store.version()
-        rows = rows.persist()
-        try:
-            todo = new_or_changed(rows, store.read(), id_column, key, row_hash).select(id_column).distinct()
-            sink(rows.join(todo, id_column, "left_semi"), number)
-            store.commit(rows.select(key.alias("state_key"), row_hash.alias("state_hash")), base)
-        finally:
-            rows.unpersist()
+        if number <= store.committed(checkpoint):
+            return
+        frozen = cut(rows.withColumns({"_key": key, "_hash": row_hash}))
+        todo = new_or_changed(frozen, store.read(), id_column, F.col("_key"), F.col("_hash")).select(id_column).distinct()
+        sink(frozen.join(todo, id_column, "left_semi").drop("_key", "_hash"), number)
+        store.commit(frozen.select(F.col("_key").alias("state_key"), F.col("_hash").alias("state_hash")), base, (checkpoint, number))
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,7 @@
 import gzip
 import random
 import re
+import threading
 import unicodedata
 
 import pytest
@@ -62,7 +63,47 @@ def test_state_store_survives_a_broken_run(spark, tmp_path):
     assert seen == [{1, 2}, {1, 2}, set(), {2, 3}]
     with pytest.raises(RuntimeError):
         store.commit(rows.select(F.col("k").alias("state_key"), F.col("h").alias("state_hash")), base=1)
-    assert {tuple(r) for r in store.read().collect()} == {("a", "x"), ("b", "z"), ("c", "w")}
+    assert {tuple(r)[:2] for r in store.read().collect()} == {("a", "x"), ("b", "z"), ("c", "w")}
+    assert store.vacuum(keep=1) > 0 and store.read().count() == 3
+
+
+def test_changes_during_a_run_are_taken_up_again(spark, tmp_path):
+    store, source = StateStore(spark, f"file://{tmp_path}/state", buckets=4), f"file://{tmp_path}/source"
+    schema = "id long, k string, h string"
+    write = lambda h: spark.createDataFrame([(1, "a", h), (2, "b", "y")], schema).write.mode("overwrite").parquet(source)
+    seen = []
+
+    def process(todo):
+        seen.append(sorted(r["id"] for r in todo.collect()))
+        if len(seen) == 1:
+            write("later")
+
+    write("x")
+    for _ in range(3):
+        run_incremental(store, spark.read.schema(schema).parquet(source), "id", F.col("k"), F.col("h"), process, F.lit("2025-01-01").cast("timestamp"), F.concat("k", F.lit(".md")))
+    assert seen == [[1, 2], [1], []]
+    assert {(r["state_key"], r["state_hash"], r["filename"], r["saved_at"].year) for r in store.read().collect()} == {("a", "later", "a.md", 2025), ("b", "y", "b.md", 2025)}
+
+
+def test_one_of_racing_commits_wins(spark, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}/state")
+    won = []
+
+    def commit(k):
+        try:
+            won.append(store.pointer.swap(f'{{"folders": {{}}, "batches": {{}}, "by": {k}}}', 0))
+        except RuntimeError:
+            pass
+
+    threads = [threading.Thread(target=commit, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert won == [1] and store.version() == 1
+    rows = spark.createDataFrame([(f"k{i}", "h") for i in range(50)], "state_key string, state_hash string")
+    assert store.commit(rows.filter("state_key < 'k2'")) == 2 and store.commit(rows) == 3 and store.read().count() == 50
+    assert store.commit(rows.limit(0)) == 4 and store.read().count() == 50
 
 
 def test_markdown_functions(spark):

@@ -19,6 +19,23 @@ def test_sync_twice(spark, tmp_path):
     assert got == [[1, 2], [2, 3]]
 
 
+def test_a_batch_run_again_after_its_commit_keeps_its_output(spark, tmp_path):
+    folder, base = tmp_path / "in", f"file://{tmp_path}"
+    schema = "id long, k string, h string"
+    spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], schema).coalesce(1).write.parquet(f"file://{folder}")
+    sink = lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    def run():
+        ingest.sync(ingest.source(spark, f"file://{folder}", schema), f"{base}/state", F.col("k"), F.col("h"), "id", sink, f"{base}/cp").awaitTermination()
+
+    run()
+    # As if the job had died between the state's commit and the stream's own.
+    for name in ("0", ".0.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    run()
+    assert spark.read.parquet(f"{base}/out").count() == 2
+
+
 def test_throttle(spark, tmp_path):
     schema = "domain string, seq long, throttled boolean"
     spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 3, False), ("a", 4, True), ("b", 1, True)], schema).write.parquet(f"file://{tmp_path}/in")
