@@ -1,34 +1,45 @@
 """Deduplicating new batches against all history.
 
-Every article gets a signature of ``VALUES`` min-hashes of its four-token
-shingles (within lines, each line taken as a ring, so that paragraphs may move
-and short lines lose no more than long ones; repeated shingles count as often). A forest of ``TREES``
-prefix trees over permutations of the signature is kept as runs of sorted
-(tree, label) rows; a new batch is one more run, and ``HashForest.merge`` makes
-one run of several. A batch finds its neighbours by range: entries whose labels
-share the batch entry's prefix. The prefix is as long as the recall target
-allows at the least similarity a repeat can have, so it is widened until the
-target is met; ranges held by many entries are first searched for their
-earliest page only, which answers nearly all of them, and then, for entries
-that aren't answered, in full: no partner is capped.
-
-Tokens are words; each Chinese, Japanese or Thai character (marks included) is
-one. Candidates are verified on whole articles: at most a tenth of the tokens
-may be changed, added or dropped, wherever they stand. Exact copies (equal up to the
-order of lines) are folded into their earliest page before the search, so a
-group of copies costs one entry.
+``HashForest`` keeps the articles accepted so far under one folder that any later
+session can open again: ``TREES`` sorted permutations of a min-hash signature.
+A permutation's label is ``DEPTH`` values of the signature, one byte each, as
+one number; entries sorted by label are a prefix tree, in which the entries that
+share a prefix are one range. The sorted entries are kept as leaves, rows of at
+most ``LEAF`` entries of one tree and one slot (the label's top bits), packed as
+sorted arrays. ``add`` signs the pages of a new batch only, writes them as a run
+of their own and looks up each of its articles by binary search in the leaves
+of all runs; no page and no token of an earlier batch is read but those of
+candidates. The prefix starts as the whole label and is widened until
+``TREES`` trees find an article at the least similarity a repeat of its size
+can have with the recall asked for. ``merge`` makes one run of runs.
+
+Features are pairs of neighbouring tokens, each line taken as a ring, so that
+paragraphs may move; a pair that an article repeats counts as often. Tokens are
+words; each Chinese, Japanese or Thai character (marks included) is one.
+Candidates whose sizes or token histograms differ too much for a tenth are
+dropped, as they can't be repeats; the others are verified on their whole token
+lists: at most a tenth may be changed, added or dropped, wherever it stands.
+
+Hot groups: exact copies (equal up to the order of lines) are folded into their
+earliest page before anything is indexed. In a range of more than ``DENSE``
+entries an article is compared with the earliest first, and with the others
+below its answer only where that doesn't settle it. Nothing is capped: these
+comparisons are streamed, and leaves stay bounded rows however hot a label is.
 
 Pages without an article have no signature and take no part. NULL markdown
-counts as empty; NULL ids are dropped; repeated rows count once.
+counts as empty; NULL ids are dropped; repeated rows count once; an empty batch
+adds nothing. A run that breaks off isn't in the manifest and so doesn't exist.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,41 +48,62 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.boilerplate import split_batch
 from pagelake.llm.contamination import _CJK, bare
+from pagelake.operators.incremental import Pointer
 from pagelake.session import cut, shared_dir
 
-VALUES, TREES, DEPTH, SHINGLE = 168, 56, 4, 4
-#: Share of tokens that may differ; the least similarity of shingles this leaves; the recall asked for at it. There are as many
-#: shingles as tokens and each token is in SHINGLE of them, so a tenth of n tokens changed leaves at least 0.6 n of n shingles
-#: intact, wherever the changes and the lines' ends are: 0.6 of 1.4.
+VALUES, TREES, DEPTH, SHINGLE = 168, 48, 8, 2
+#: Share of tokens that may differ; the recall asked for at the least similarity that leaves.
 MOST_CHANGED, RECALL = 0.1, 0.98
-LEAST_SIMILARITY = (1 - MOST_CHANGED * SHINGLE) / (1 + MOST_CHANGED * SHINGLE)
+#: Entries of a leaf; slots of a tree; entries of a range beyond which its earliest is tried first; classes of a token histogram.
+LEAF, SLOTS, DENSE, CLASSES = 1 << 14, 64, 48, 64
 #: Shingles hashed at a time, so that they stay in the processor's cache.
 _BLOCK = 1 << 15
-#: Ranges of more entries are searched for their earliest page first.
-DENSE = 48
 #: Thai letters, vowel and tone marks and digits: pages in Thai count in characters too.
-_THAI = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e50-\u0e59"
+_THAI = "ก-ฺเ-๎๐-๙"
 _TOKEN = re.compile(rf"[{_CJK}{_THAI}]|[^\W_{_CJK}{_THAI}]+")
-_SEEDS = np.random.default_rng(20).integers(1, 2**63, (2, VALUES), dtype=np.uint64) | np.uint64(1)
-#: The first three values of each tree are its own, so that trees err independently; deeper ones are shared.
-_ORDERS = np.stack([np.concatenate([np.arange(3 * t, 3 * t + 3), np.random.default_rng(t).choice(np.delete(np.arange(VALUES), np.s_[3 * t : 3 * t + 3]), DEPTH - 3, False)]) for t in range(TREES)])
-_SIGNED = "page_id long, copy binary, size int, tokens binary, labels array<binary>"
+_SEEDS = np.random.default_rng(20).integers(1, 2**32, (2, VALUES), dtype=np.uint32) | np.uint32(1)
+_SIGNED = "page_id long, copy binary, size int, tokens binary, histogram binary, signature binary"
+_LEAVES = "tree int, slot int, asking boolean, low long, high long, labels binary, ids binary, sizes binary, run int"
 
 
-def prefix_length(similarity: float = LEAST_SIMILARITY, recall: float = RECALL, trees: int = TREES) -> int:
-    """The longest prefix with which ``trees`` trees find a pair of ``similarity`` with probability ``recall``."""
-    for k in range(DEPTH, 1, -1):
-        if 1 - (1 - similarity**k) ** trees >= recall:
-            return k
-    return 1
+def _orders() -> np.ndarray:
+    """Which values make each tree's label: the first six of neighbouring trees are disjoint, so that trees err independently."""
+    rng, own, out = np.random.default_rng(5), 6, []
+    while len(out) < TREES:
+        whole = rng.permutation(VALUES)
+        for at in range(0, VALUES - own + 1, own):
+            first = whole[at : at + own]
+            out.append(np.concatenate([first, rng.permutation(np.setdiff1d(np.arange(VALUES), first))[: DEPTH - own]]))
+    return np.array(out[:TREES])
 
 
-def sign(articles: list[str]) -> list[tuple[bytes, int, bytes, list[bytes]] | None]:
-    """For each article its copy key, size, sorted token hashes and labels; None without tokens."""
+_ORDERS = _orders()
+
+
+def least_similarity(size: int | np.ndarray, most_changed: float = MOST_CHANGED) -> np.ndarray:
+    """The least similarity of shingles between an article of ``size`` tokens and a repeat of it.
+
+    There are as many shingles as tokens and each token is in SHINGLE of them;
+    changes are whole tokens, a tenth of the longer article at most.
+    """
+    size = np.asarray(size, float)
+    lost = SHINGLE * np.floor(most_changed * np.floor(size / (1 - most_changed) + 1e-9) + 1e-9)
+    return np.maximum(0.0, (size - lost) / np.maximum(size + lost, 1))
+
+
+def prefix_length(similarity: float | np.ndarray, recall: float = RECALL, trees: int = TREES) -> np.ndarray:
+    """The longest prefix with which ``trees`` trees find a pair of ``similarity`` with probability ``recall``; at least one value."""
+    depths = np.arange(1, DEPTH + 1)
+    reached = 1 - (1 - np.asarray(similarity, float)[..., None] ** depths) ** trees >= recall
+    return np.maximum(1, (reached * depths).max(-1))
+
+
+def sign(articles: list[str]) -> list[tuple[bytes, int, bytes, bytes, bytes] | None]:
+    """For each article its copy key, size, sorted token hashes, token histogram and signature; None without tokens."""
     known: dict[str, int] = {}
     ids: list[int] = []
-    line_of: list[int] = []
-    lengths, n_line = [], 0
+    line_ends: list[int] = []
+    lengths = []
     copies: list[bytes] = []
     for text in articles:
         start = len(ids)
@@ -79,173 +111,381 @@ def sign(articles: list[str]) -> list[tuple[bytes, int, bytes, list[bytes]] | No
         for line in bare(text).split("\n"):
             got = _TOKEN.findall(line)
             if got:
-                n_line += 1
                 lines.append(" ".join(got))
                 for w in got:
                     h = known.get(w)
                     if h is None:
                         h = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
                     ids.append(h)
-                line_of += [n_line] * len(got)
+                line_ends.append(len(ids))
         lengths.append(len(ids) - start)
         copies.append(hashlib.blake2b("\n".join(sorted(lines)).encode("utf-8", "surrogatepass"), digest_size=16).digest())
     token = np.array(ids, np.uint32)
-    lines_at = np.array(line_of, np.int64)
     size = np.array(lengths)
     starts = np.cumsum(size) - size
-    out: list[tuple[bytes, int, bytes, list[bytes]] | None] = [None] * len(articles)
+    out: list[tuple[bytes, int, bytes, bytes, bytes] | None] = [None] * len(articles)
     full = np.nonzero(size)[0]
     if not len(full):
         return out
-    wide = token.astype(np.uint64)
     # Shingles run on from the end of a line to its start: one begins at each token.
-    firsts = np.nonzero(np.concatenate([[True], lines_at[1:] != lines_at[:-1]]))[0]
-    length = np.diff(np.concatenate([firsts, [len(wide)]]))
-    first, length = np.repeat(firsts, length), np.repeat(length, length)
-    inside = np.arange(len(wide)) - first
-    h = np.zeros(len(wide), np.uint64)
-    for j in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + wide[first + (inside + j) % length]
-    h ^= h >> np.uint64(32)
-    signature = np.empty((VALUES, len(full)), np.uint16)
-    ends = (starts + size)[full]
+    following = np.arange(1, len(token) + 1)
+    ends = np.array(line_ends)
+    following[ends - 1] = np.concatenate([[0], ends[:-1]])
+    h = token * np.uint32(0x9E3779B1) + token[following] * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(15)
+    signature = np.empty((len(full), VALUES), np.uint8)
+    stops = (starts + size)[full]
     low = 0
     while low < len(full):
         begin = int(starts[full[low]])
-        high = max(low + 1, int(np.searchsorted(ends, begin + _BLOCK, side="right")))
-        signature[:, low:high] = _least(h[begin : ends[high - 1]], size[full[low:high]])
+        high = max(low + 1, int(np.searchsorted(stops, begin + _BLOCK, side="right")))
+        signature[low:high] = _least(h[begin : stops[high - 1]], size[full[low:high]]).T
         low = high
+    kind = (token * np.uint32(0x2C1B3C6D) >> np.uint32(26)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(size)), size) * CLASSES + kind, minlength=len(size) * CLASSES).reshape(-1, CLASSES)
+    histogram = np.minimum(counts, 255).astype(np.uint8)
     for k, d in enumerate(full.tolist()):
-        own = signature[:, k]
-        labels = [own[o].astype(">u2").tobytes() for o in _ORDERS]
-        out[d] = (copies[d], int(size[d]), np.sort(token[starts[d] : starts[d] + size[d]]).tobytes(), labels)
+        out[d] = (copies[d], int(size[d]), np.sort(token[starts[d] : starts[d] + size[d]]).tobytes(), histogram[d].tobytes(), signature[k].tobytes())
     return out
 
 
 def _least(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The min-hashes of articles of ``size`` shingles each; a shingle that an article repeats counts as often as it stands there."""
     owner = np.repeat(np.arange(len(size)), size)
-    h = h[np.lexsort((h, owner))]
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(32) | h, kind="stable")
+    h = h[order]
     at = np.arange(len(h))
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-    h = h + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = h + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint32) * np.uint32(0xD6E8FEB9)
     cuts = np.cumsum(size) - size
-    out = np.empty((VALUES, len(size)), np.uint16)
+    out = np.empty((VALUES, len(size)), np.uint8)
     x, moved = np.empty_like(h), np.empty_like(h)
     for v in range(VALUES):
         np.multiply(h, _SEEDS[0, v], out=x)
-        x += _SEEDS[1, v]
-        np.right_shift(x, np.uint64(29), out=moved)
+        np.right_shift(x, np.uint32(16), out=moved)
         x ^= moved
-        out[v] = (np.minimum.reduceat(x, cuts) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.uint16)
+        x *= _SEEDS[1, v]
+        out[v] = np.minimum.reduceat(x, cuts) * np.uint32(0xC2B2AE3D) >> np.uint32(24)
     return out
 
 
 def signed(pages: DataFrame) -> DataFrame:
-    """(page_id, copy, size, tokens, labels) of the articles of ``pages`` (page_id, url, markdown)."""
+    """(page_id, copy, size, tokens, histogram, signature) of the articles of ``pages`` (page_id, url, markdown)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text = lambda c: [x if isinstance(x, str) else None for x in b[c]]
             got = sign([a for _, a in split_batch(text("markdown"), text("url"))])
             rows = [(i, *g) for i, g in zip(b["page_id"].tolist(), got, strict=True) if g]
-            yield pd.DataFrame(rows, columns=["page_id", "copy", "size", "tokens", "labels"])
+            yield pd.DataFrame(rows, columns=["page_id", "copy", "size", "tokens", "histogram", "signature"])
 
     return pages.select("page_id", "url", "markdown").filter("page_id IS NOT NULL").mapInPandas(of, _SIGNED)
 
 
+def labels(signatures: np.ndarray, tree: int) -> np.ndarray:
+    """The labels of signatures (one row each) in a tree, as numbers that sort as their values do."""
+    return np.ascontiguousarray(signatures[:, _ORDERS[tree]]).view(">u8")[:, 0].astype(np.uint64)
+
+
+def _signed(label: np.uint64) -> int:
+    """A label as a signed number that sorts as labels do."""
+    return int((label ^ np.uint64(1 << 63)).view(np.int64))
+
+
+def leaves(texts: DataFrame, run: int, slots: int = SLOTS) -> DataFrame:
+    """The leaves of ``texts`` (text_id, size, signature, asking): for each tree and slot the entries sorted by label.
+
+    A leaf holds the entries of one chunk of at most ``LEAF`` texts, so it is a bounded row; asking and
+    other texts have leaves of their own.
+    """
+    shift = np.uint64(64 - int(np.log2(slots)))
+
+    def rows(ids: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, asking: bool) -> Iterator[tuple]:
+        for tree in range(TREES):
+            label = labels(signatures, tree)
+            order = np.lexsort((ids, label))
+            label = label[order]
+            slot = (label >> shift).astype(np.int64)
+            cuts = np.nonzero(np.diff(slot))[0] + 1
+            for s, part, own in zip(slot[np.concatenate([[0], cuts])].tolist(), np.split(label, cuts), np.split(order, cuts), strict=True):
+                yield tree, s, asking, _signed(part[0]), _signed(part[-1]), part.tobytes(), ids[own].tobytes(), sizes[own].tobytes(), run
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def packed() -> Iterator[pd.DataFrame]:
+            b = pd.concat(held)
+            for asking, part in b.groupby(b["asking"].astype(bool)):
+                signatures = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(-1, VALUES)
+                yield pd.DataFrame(list(rows(part["text_id"].to_numpy(np.int64), part["size"].to_numpy(np.int32), signatures, bool(asking))), columns=[c.split()[0] for c in _LEAVES.split(", ")])
+            held.clear()
+
+        for b in batches:
+            for at in range(0, len(b), LEAF // 4):
+                held.append(b.iloc[at : at + LEAF // 4])
+                if sum(map(len, held)) > LEAF - LEAF // 4:
+                    yield from packed()
+        if sum(map(len, held)):
+            yield from packed()
+
+    return texts.select("text_id", "size", "signature", "asking").mapInPandas(of, _LEAVES)
+
+
+def _near(own: dict, other: dict, recall: float, below: bool, most: int) -> Iterator[pd.DataFrame]:
+    """Of one probing leaf and one leaf of the forest in the same slot the pairs (early, late, tree) that may be repeats.
+
+    Of a pair the later text asks. ``tree`` is set where a dense range was searched for its earliest entry only; with
+    ``below`` (the ids that bound the answers still wanted) all of it is searched.
+    """
+    label, at_id, at_size = (np.frombuffer(other[c], t) for c, t in (("labels", np.uint64), ("ids", np.int64), ("sizes", np.int32)))
+    probe, ids, sizes = (np.frombuffer(own[c], t) for c, t in (("labels", np.uint64), ("ids", np.int64), ("sizes", np.int32)))
+    bound = np.frombuffer(own["bounds"], np.int64) if below else ids
+    depth = prefix_length(least_similarity(np.arange(int(sizes.max()) + 1 if len(sizes) else 1)), recall)[sizes]
+    rest = (np.uint64(1) << (np.uint64(8) * (DEPTH - depth).astype(np.uint64))) - np.uint64(1)
+    first = np.searchsorted(label, probe & ~rest, side="left")
+    last = np.searchsorted(label, probe | rest, side="right")
+    same_run = own["run"] == other["run"]
+    # An earlier entry answers an asking probe; a later one of an earlier run, if it asks, is answered by the probe.
+    back = bool(other["asking"]) and not same_run and not below
+    size = last - first
+    dense = np.zeros(len(size), bool) if below else size > most
+    todo = np.nonzero((size > 0) & ~dense)[0]
+    step = max(1, int((1 << 20) // max(1, size[todo].max(initial=1))))
+    for at in range(0, len(todo), step):
+        which = todo[at : at + step]
+        p = np.repeat(which, size[which])
+        e = np.arange(len(p)) - np.repeat(np.cumsum(size[which]) - size[which], size[which]) + np.repeat(first[which], size[which])
+        n, m = sizes[p], at_size[e]
+        close = np.abs(n - m) <= np.maximum(n, m) * MOST_CHANGED
+        ahead = close & (at_id[e] < bound[p]) & (at_id[e] != ids[p]) if own["asking"] else np.zeros(len(p), bool)
+        after = close & (at_id[e] > ids[p]) if back else np.zeros(len(p), bool)
+        yield pd.DataFrame({"early": np.concatenate([at_id[e[ahead]], ids[p[after]]]), "late": np.concatenate([ids[p[ahead]], at_id[e[after]]]), "tree": -1})
+    if dense.any():
+        d = np.nonzero(dense)[0]
+        ranges, of = np.unique(np.stack([first[d], last[d]]), axis=1, return_inverse=True)
+        of = np.ravel(of)
+        if own["asking"]:
+            head = np.array([at_id[a:b].min() for a, b in ranges.T.tolist()])[of]
+            keep = head < ids[d]
+            yield pd.DataFrame({"early": head[keep], "late": ids[d][keep], "tree": int(own["tree"])})
+        if back:
+            # Entries of earlier runs that ask are first compared with the earliest probe of their range.
+            for k, (a, b) in enumerate(ranges.T.tolist()):
+                head = ids[d[of == k]].min()
+                late = np.unique(at_id[a:b][at_id[a:b] > head])
+                yield pd.DataFrame({"early": head, "late": late, "tree": int(own["tree"])})
+
+
+def search(probes: DataFrame, forest: DataFrame, recall: float = RECALL, below: bool = False) -> DataFrame:
+    """(early, late, tree) for the leaves ``probes`` of a batch against the leaves of a ``forest``, as ``_near`` gives them."""
+    own = probes.select("tree", "slot", *(F.col(c).alias(f"o_{c}") for c in probes.columns if c not in ("tree", "slot")))
+    both = forest.join(own, ["tree", "slot"])
+    if "low" in probes.columns:
+        # No prefix is shorter than the least similarity of all sizes allows: ranges that can't meet even at it are left out.
+        wide = 64 - 8 * int(prefix_length(least_similarity(np.arange(1, 10_000)), recall).min())
+        both = both.filter(f"shiftright(low, {wide}) <= shiftright(o_high, {wide}) AND shiftright(o_low, {wide}) <= shiftright(high, {wide})")
+    names, most = [c for c in probes.columns if c not in ("tree", "slot")], DENSE
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for row in b.to_dict("records"):
+                own_row = {"tree": row["tree"], **{c: row[f"o_{c}"] for c in names}}
+                for got in _near(own_row, row, recall, below, most):
+                    if len(got):
+                        found.append(got)
+                    if sum(map(len, found)) > 1 << 20:
+                        yield pd.concat(found)
+                        found = []
+            if found:
+                yield pd.concat(found)
+
+    return both.mapInPandas(of, "early long, late long, tree int")
+
+
 class HashForest:
-    """Runs of (tree, label) entries under one folder, with the tokens by which candidates are verified.
+    """Runs of sorted leaves under one folder, which any later session opens again by the folder's name.
 
-    A run has entries for each distinct article, named by its earliest page,
-    and says which articles ask. Runs are written whole under a new name, so a
-    lost executor only repeats a task. Tokens stay where they were written and
-    are read for candidates only.
+    A run holds its pages' texts (each distinct article once, named by its
+    earliest page of the run), its pages, its leaves, and the links found when it
+    was added. The manifest names the runs in force; it is swapped at once.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.runs = spark, path.rstrip("/"), []  # type: ignore[var-annotated]
-
-    def sign(self, pages: DataFrame) -> DataFrame:
-        """Begins a run with ``pages`` (page_id, url, markdown): signs them, once, and gives what ``signed`` gives, as written."""
-        name = f"{self.path}/run-{len(self.runs)}-{uuid.uuid4().hex}"
-        signed(pages).write.parquet(f"{name}/signs")
-        self.runs.append(name)
-        return self.spark.read.schema(_SIGNED).parquet(f"{name}/signs")
-
-    def index(self, signs: DataFrame, ends: DataFrame) -> None:
-        """Ends the last run: entries for its distinct articles ``ends`` (as ``folded`` gives them)."""
-        rows = signs.select(F.col("page_id").alias("text_id"), "labels").join(ends.select("text_id", F.col("asks").isNotNull().cast("long").alias("flag")), "text_id")
-        # The lowest bit of a code says whether the text asks; codes sort as the texts do.
-        labels = rows.select((F.shiftleft("text_id", 1) + F.col("flag")).alias("code"), F.posexplode("labels").alias("tree", "label"))
-        labels.withColumn("tree", F.col("tree").cast("byte")).write.parquet(f"{self.runs[-1]}/labels")
-
-    def tokens(self) -> DataFrame:
-        """(page_id, size, tokens) of all runs."""
-        return self.spark.read.schema("page_id long, size int, tokens binary").parquet(*(f"{r}/signs" for r in self.runs))
-
-    def labels(self) -> DataFrame:
-        """(code, tree, label) of all runs."""
-        return self.spark.read.parquet(*(f"{r}/labels" for r in self.runs))
-
-    def merge(self) -> str:
-        """One sorted run of all runs; the old ones stay on disk for readers that still use them."""
-        name = f"{self.path}/run-merged-{uuid.uuid4().hex}"
-        self.tokens().write.parquet(f"{name}/signs")
-        self.labels().repartitionByRange("tree", "label").sortWithinPartitions("tree", "label").write.parquet(f"{name}/labels")
-        self.runs = [name]
-        return name
+    def __init__(self, spark: SparkSession, path: str, recall: float = RECALL, slots: int = SLOTS) -> None:
+        self.spark, self.path, self.recall, self.slots = spark, path.rstrip("/"), recall, slots
+        self.pointer = Pointer(spark, self.path)
+
+    def runs(self) -> list[str]:
+        content = self.pointer.read()
+        return json.loads(content) if content else []
+
+    def _all(self, table: str, schema: str, runs: list[str]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{r}/{table}" for r in runs))
 
-    def neighbours(self, recall: float = RECALL) -> DataFrame:
-        """(range, text_id, asking, n, first): the entries of ranges that hold several texts, one of which asks.
+    def texts(self, runs: list[str] | None = None) -> DataFrame:
+        """(page_id, copy, size, tokens, histogram, signature) of all pages with an article, those that name no text included."""
+        return self._all("signs", _SIGNED, self.runs() if runs is None else runs)
 
-        Only these few are kept; entries alone in their range are read once and dropped.
+    def pages(self, runs: list[str] | None = None) -> DataFrame:
+        """(page_id, text_id) of all pages."""
+        return self._all("pages", "page_id long, text_id long", self.runs() if runs is None else runs)
+
+    def asked(self) -> DataFrame:
+        """(page_id, text_id) of the pages that asked for the page they repeat."""
+        return self._all("asked", "page_id long, text_id long", self.runs())
+
+    def links(self) -> DataFrame:
+        """(early, late): texts that are the same; the later one asks."""
+        return self._all("links", "early long, late long", self.runs())
+
+    def add(self, pages: DataFrame, asking: bool = True) -> str:
+        """Adds a batch of ``pages`` (page_id, url, markdown) as a new run and links it; the run's name.
+
+        Pages of earlier batches aren't signed again. With ``asking`` the batch's pages are to be answered.
         """
-        length = 2 * prefix_length(recall=recall)
-        entries = self.labels().select("code", F.xxhash64("tree", F.substring("label", 1, length)).alias("range"))
-        sizes = entries.groupBy("range").agg(F.count("*").alias("n"), F.min("code").alias("first"), F.max(F.col("code").bitwiseAND(F.lit(1))).alias("asked"))
-        near = entries.join(sizes.filter("n > 1 AND asked = 1").select("range", "n", "first"), "range")
-        half = lambda c: F.shiftright(c, 1)
-        return near.select("range", half("code").alias("text_id"), (F.col("code").bitwiseAND(F.lit(1)) == 1).alias("asking"), "n", half("first").alias("first"))
-
-    @staticmethod
-    def candidates(near: DataFrame, ends: DataFrame) -> DataFrame:
-        """(text_id, other_id): asking texts with the others of a range that are earlier than some page that asks; of dense ranges with the first only."""
-        asking = near.filter("asking")
-        others = near.filter(F.col("n") <= DENSE).select("range", F.col("text_id").alias("other_id"))
-        pairs = asking.filter(F.col("n") <= DENSE).select("range", "text_id").join(others, "range").select("text_id", "other_id")
-        heads = asking.filter(F.col("n") > DENSE).select("text_id", F.col("first").alias("other_id"))
-        both = pairs.unionByName(heads).filter("other_id <> text_id").distinct()
-        return both.join(ends.select("text_id", "asks"), "text_id").filter("other_id < asks").select("text_id", "other_id")
-
-    @staticmethod
-    def dense_rest(near: DataFrame, ends: DataFrame, answered: DataFrame) -> DataFrame:
-        """(text_id, other_id): for asking texts in dense ranges all others earlier than the answer they have."""
-        dense = near.filter(F.col("n") > DENSE)
-        asking = dense.filter("asking").join(ends.select("text_id", "asks"), "text_id").join(answered, "text_id", "left")
-        # What has the range's first page as its answer has no earlier one there.
-        left = asking.filter("answer IS NULL OR answer > first").select("text_id", "range", F.coalesce("answer", "asks").alias("_below"))
-        pairs = left.join(dense.select("range", F.col("text_id").alias("other_id")), "range").filter("other_id < _below AND other_id <> text_id")
-        return pairs.select("text_id", "other_id").distinct()
-
-    def verify(self, pairs: DataFrame, most_changed: float = MOST_CHANGED) -> DataFrame:
-        """(text_id, other_id): the pairs whose articles are the same up to the changes allowed."""
-        wanted = cut(pairs.select("text_id").unionByName(pairs.select(F.col("other_id").alias("text_id"))).distinct())
-        texts = self.tokens().withColumnRenamed("page_id", "text_id").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])
-        texts = cut(texts)
-        a = texts.select("text_id", F.col("size").alias("n"), F.col("tokens").alias("x"))
-        b = texts.select(F.col("text_id").alias("other_id"), F.col("size").alias("m"), F.col("tokens").alias("y"))
-        sizes_a, sizes_b = a.select("text_id", "n"), b.select("other_id", "m")
-        close = F.abs(F.col("n") - F.col("m")) <= F.greatest("n", "m") * F.lit(most_changed)
-        near = pairs.select("text_id", "other_id").join(sizes_a, "text_id").join(sizes_b, "other_id").filter(close).select("text_id", "other_id")
+        before = self.runs()
+        version = self.pointer.version()
+        number, name = len(before), f"run-{version}-{uuid.uuid4().hex}"
+        home = f"{self.path}/{name}"
+        ids = cut(pages.select("page_id").filter("page_id IS NOT NULL").distinct())
+        old = cut(self.pages(before).join(ids, "page_id", "left_semi").distinct()) if before else None
+        fresh = pages if old is None or old.isEmpty() else pages.join(old.select("page_id"), "page_id", "left_anti")
+        signed(fresh).write.parquet(f"{home}/signs")
+        signs = self.spark.read.schema(_SIGNED).parquet(f"{home}/signs")
+        named = signs.select("page_id", "copy")
+        heads = named.groupBy("copy").agg(F.min("page_id").alias("text_id"))
+        named.join(heads, "copy").select("page_id", "text_id").distinct().write.parquet(f"{home}/pages")
+        own_pages = self.pages([name])
+        # Nothing but what the leaves take is moved; a page delivered with two articles counts with both.
+        narrow = signs.select(F.col("page_id").alias("text_id"), "copy", "size", "signature")
+        entries = narrow.join(heads, ["copy", "text_id"], "left_semi").dropDuplicates(["copy", "text_id"]).select("text_id", "size", "signature", F.lit(asking).alias("asking"))
+        askers = own_pages if asking else own_pages.limit(0)
+        if asking and old is not None and not old.isEmpty():
+            # Pages of earlier batches that ask for the first time have entries that say so.
+            askers = askers.unionByName(old)
+            again = self.texts(before).join(old.select(F.col("text_id").alias("page_id")).distinct(), "page_id", "left_semi")
+            entries = entries.unionByName(again.select(F.col("page_id").alias("text_id"), "size", "signature", F.lit(True).alias("asking")))
+        entries = cut(entries)
+        askers.distinct().write.parquet(f"{home}/asked")
+        parts = max(1, -(-entries.count() // LEAF))
+        leaves(entries.repartition(parts), number, self.slots).write.option("compression", "zstd").parquet(f"{home}/leaves")
+        if asking or before:
+            self._link([*before, name], name)
+        else:
+            self._all("links", "early long, late long", []).write.parquet(f"{home}/links")
+        self.pointer.swap(json.dumps([*before, name]), version)
+        return name
+
+    def _link(self, runs: list[str], name: str) -> None:
+        probes = self._all("leaves", _LEAVES, [name])
+        near = cut(search(probes, self._all("leaves", _LEAVES, runs), self.recall).groupBy("early", "late").agg(F.max("tree").alias("tree"), F.count_if(F.col("tree") >= 0).alias("n")))
+        same = cut(self.verify(near.select("early", "late"), runs))
+        # Askers for which the earliest entry of some dense range was no answer, or not their earliest one.
+        dense = near.filter("n > 0")
+        if not dense.isEmpty():
+            answers = same.groupBy("late").agg(F.min("early").alias("answer"))
+            left = dense.join(answers, "late", "left").filter("answer IS NULL OR answer <> early").select(F.col("late").alias("text_id"), F.coalesce("answer", "late").alias("bound")).distinct()
+            left = left.groupBy("text_id").agg(F.min("bound").alias("bound"))
+            asking = self._all("leaves", _LEAVES, runs).filter("asking")
+            rest = search(self._bounded(asking, cut(left)), self._all("leaves", _LEAVES, runs), self.recall, below=True)
+            rest = cut(rest.select("early", "late").distinct().join(near.select("early", "late"), ["early", "late"], "left_anti"))
+            same = same.unionByName(self.verify(rest, runs))
+        same.select("early", "late").write.parquet(f"{self.path}/{name}/links")
+
+    def _bounded(self, probes: DataFrame, left: DataFrame) -> DataFrame:
+        """The leaves ``probes`` with the texts of ``left`` (text_id, bound) only."""
+
+        def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.to_dict("records"):
+                    n = len(r["ids"]) // 8
+                    yield pd.DataFrame({"tree": r["tree"], "slot": r["slot"], "run": r["run"], "label": np.frombuffer(r["labels"], np.int64), "text_id": np.frombuffer(r["ids"], np.int64), "size": np.frombuffer(r["sizes"], np.int32), "part": np.arange(n) // 4096})
+
+        def packed(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            b = b.iloc[np.argsort(b["label"].to_numpy().view(np.uint64), kind="stable")]
+            of = lambda c, t: b[c].to_numpy(t).tobytes()
+            return pd.DataFrame({"tree": [key[0]], "slot": [key[1]], "asking": [True], "labels": [of("label", np.int64)], "ids": [of("text_id", np.int64)], "sizes": [of("size", np.int32)], "bounds": [of("bound", np.int64)], "run": [key[2]]})
+
+        rows = probes.mapInPandas(entries, "tree int, slot int, run int, label long, text_id long, size int, part long").join(left, "text_id")
+        # Parts of at most 4096 entries bound what one task holds.
+        return rows.groupBy("tree", "slot", "run", "part").applyInPandas(packed, "tree int, slot int, asking boolean, labels binary, ids binary, sizes binary, bounds binary, run int")
+
+    def verify(self, pairs: DataFrame, runs: list[str] | None = None, most_changed: float = MOST_CHANGED) -> DataFrame:
+        """(early, late): the pairs whose articles are the same up to the changes allowed."""
+        texts = self.texts(runs)
+
+        def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+            """The pairs with the columns of both texts, named n, m and x, y; the texts are cut down to those wanted first."""
+            wanted = cut(pairs.select(F.col("early").alias("page_id")).unionByName(pairs.select(F.col("late").alias("page_id"))).distinct())
+            got = cut(texts.select("page_id", *columns).join(wanted, "page_id", "left_semi").distinct())
+            side = lambda of, names: got.select(F.col("page_id").alias(of), *(F.col(c).alias(x) for c, x in zip(columns, names, strict=False)))
+            return pairs.select("early", "late").join(side("early", "xn"), "early").join(side("late", "ym"), "late")
+
+        def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, CLASSES).astype(np.int16) for c in "xy")
+                    net = x - y
+                    most = np.maximum(np.maximum(net, 0).sum(1), np.maximum(-net, 0).sum(1))
+                    yield b.loc[most <= most_changed * np.maximum(b["n"], b["m"]).to_numpy(), ["early", "late"]]
+
+        likely = cut(sides(pairs, "histogram", "size").select("early", "late", "n", "m", "x", "y").mapInPandas(possible, "early long, late long").distinct())
 
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keep = [changed(x, y) <= most_changed for x, y in zip(batch["x"], batch["y"], strict=True)]
-                yield batch.loc[keep, ["text_id", "other_id"]]
+            for b in batches:
+                keep = [changed(x, y) <= most_changed for x, y in zip(b["x"], b["y"], strict=True)]
+                yield b.loc[keep, ["early", "late"]]
+
+        return sides(likely, "tokens").select("early", "late", "x", "y").mapInPandas(of, "early long, late long").distinct()
+
+    def merge(self, runs: list[str] | None = None) -> str:
+        """One run of ``runs`` (all by default): small leaves of a slot become larger ones, sorted anew; the old runs stay for readers that still use them."""
+        now, version = self.runs(), self.pointer.version()
+        runs = now if runs is None else runs
+        name = f"run-{version}-{uuid.uuid4().hex}"
+        home, number = f"{self.path}/{name}", min(map(now.index, runs), default=0)
+        for table, schema in (("signs", _SIGNED), ("pages", "page_id long, text_id long"), ("asked", "page_id long, text_id long"), ("links", "early long, late long")):
+            self._all(table, schema, runs).distinct().write.option("compression", "zstd").parquet(f"{home}/{table}")
+
+        # A slot of more entries than a leaf takes is divided by further bits of the label, so that its leaves are disjoint ranges;
+        # what can't be divided (one label on many texts) is put together up to LEAF entries and no further.
+        rows = self._all("leaves", _LEAVES, runs).withColumn("n", F.expr("length(ids) div 8"))
+        bits = rows.groupBy("tree", "slot", "asking").agg(F.ceil(F.log2(F.sum("n") / F.lit(LEAF // 2))).alias("bits"))  # as many rows as trees and slots
+        names, slot_bits, leaf = [c.split()[0] for c in _LEAVES.split(", ")], np.uint64(np.log2(self.slots)), LEAF
+
+        def divided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.to_dict("records"):
+                    label, ids, sizes = (np.frombuffer(r[c], t) for c, t in (("labels", np.uint64), ("ids", np.int64), ("sizes", np.int32)))
+                    k = max(0, min(int(r["bits"]), 32))
+                    sub = ((label << slot_bits) >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(label), np.int64)
+                    cuts = np.nonzero(np.diff(sub))[0] + 1
+                    out = [(r["tree"], r["slot"], r["asking"], int(s), len(x), x.tobytes(), y.tobytes(), z.tobytes()) for s, x, y, z in zip(sub[np.concatenate([[0], cuts])], *(np.split(v, cuts) for v in (label, ids, sizes)), strict=True)]
+                    yield pd.DataFrame(out, columns=["tree", "slot", "asking", "sub", "n", "labels", "ids", "sizes"])
+
+        def joined(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            label, ids, sizes = (np.frombuffer(b"".join(b[c]), t) for c, t in (("labels", np.uint64), ("ids", np.int64), ("sizes", np.int32)))
+            order = np.lexsort((ids, label))
+            label = label[order]
+            return pd.DataFrame([(key[0], key[1], key[2], _signed(label[0]), _signed(label[-1]), label.tobytes(), ids[order].tobytes(), sizes[order].tobytes(), number)], columns=names)
+
+        parts = rows.join(bits, ["tree", "slot", "asking"]).select("tree", "slot", "asking", "labels", "ids", "sizes", "bits")
+        parts = parts.mapInPandas(divided, "tree int, slot int, asking boolean, sub long, n long, labels binary, ids binary, sizes binary")
+        parts = parts.withColumn("part", F.expr(f"(sum(n) OVER (PARTITION BY tree, slot, asking, sub ORDER BY n, xxhash64(ids) ROWS UNBOUNDED PRECEDING) - n) div {leaf}"))
+        parts.groupBy("tree", "slot", "asking", "sub", "part").applyInPandas(joined, _LEAVES).write.option("compression", "zstd").parquet(f"{home}/leaves")
+        at = {r: k for k, r in enumerate(now)}
+        left = [r for r in now if r not in runs]
+        self.pointer.swap(json.dumps(sorted([*left, name], key=lambda r: at.get(r, number))), version)
+        return name
 
-        sides = near.join(a, "text_id").join(b, "other_id")
-        return sides.select("text_id", "other_id", "x", "y").mapInPandas(of, "text_id long, other_id long")
+    def answers(self) -> DataFrame:
+        """(page_id_a, page_id_b): for each page b that asked the earliest page a < b with the same article."""
+        first = self.links().groupBy("late").agg(F.min("early").alias("_early")).withColumnRenamed("late", "text_id")
+        rows = self.asked().distinct().join(first, "text_id", "left")
+        best = rows.groupBy("page_id").agg(F.min(F.least("text_id", F.coalesce("_early", "text_id"))).alias("page_id_a"))
+        return best.filter("page_id_a < page_id").select("page_id_a", F.col("page_id").alias("page_id_b"))
 
 
 def changed(x: bytes, y: bytes) -> float:
@@ -262,37 +502,15 @@ def changed(x: bytes, y: bytes) -> float:
     return max(net[net > 0].sum(), -net[net < 0].sum()) / max(len(a), len(b))
 
 
-def folded(signs: DataFrame, known: DataFrame) -> DataFrame:
-    """(copy, text_id, asks): distinct articles of the ``known`` (page_id, asking) pages.
-
-    text_id is the earliest page, asks the last one that asks, NULL if none does.
-    """
-    rows = signs if "asking" in signs.columns else signs.select("page_id", "copy").join(known, "page_id")
-    return rows.groupBy("copy").agg(F.min("page_id").alias("text_id"), F.max(F.when(F.col("asking"), F.col("page_id"))).alias("asks"))
-
-
-def repeats(pages: DataFrame, history: DataFrame, batch: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(page_id_a, page_id_b): for each page b of ``batch`` the earliest page a < b of history or batch with the same article.
+def repeats(pages: DataFrame, history: DataFrame, batches: list[DataFrame], forest: HashForest | None = None) -> DataFrame:
+    """(page_id_a, page_id_b): for each page b of ``batches`` the earliest page a < b of history or batches with the same article.
 
-    ``history`` and ``batch`` have page_id; ``pages`` has page_id, url, markdown.
+    ``history`` and each batch have page_id; ``pages`` has page_id, url, markdown. The history and each batch in turn
+    are added to ``forest``, a new one in the shared folder by default.
     """
     spark = pages.sparkSession
-    ids = batch.select("page_id", F.lit(True).alias("asking")).unionByName(history.select("page_id", F.lit(False).alias("asking")))
-    known = ids.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.max("asking").alias("asking"))
-    forest = HashForest(spark, f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}")
-    signs = forest.sign(pages)
-    members = cut(signs.select("page_id", "copy").join(known, "page_id"))
-    ends = cut(folded(members, known))
-    forest.index(signs, ends)
-    near = cut(forest.neighbours(recall))
-    pairs = cut(forest.candidates(near, ends))
-    same = cut(forest.verify(pairs))
-    if not near.filter(F.col("n") > DENSE).isEmpty():
-        answer = same.groupBy("text_id").agg(F.min("other_id").alias("answer"))
-        rest = cut(forest.dense_rest(near, ends, answer).join(pairs, ["text_id", "other_id"], "left_anti"))
-        same = same.unionByName(forest.verify(rest))
-    # Each asking page: its own copies' first page, and the first pages of the articles like it.
-    answers = same.groupBy("text_id").agg(F.min("other_id").alias("other"))
-    best = ends.filter("asks IS NOT NULL").join(answers, "text_id", "left").select("copy", F.least("text_id", F.coalesce("other", "text_id")).alias("page_id_a"))
-    out = members.filter("asking").select("copy", F.col("page_id").alias("page_id_b")).join(best, "copy")
-    return out.filter("page_id_a < page_id_b").select("page_id_a", "page_id_b").distinct()
+    forest = forest or HashForest(spark, f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}")
+    of = lambda ids: pages.join(ids.select("page_id").filter("page_id IS NOT NULL").distinct(), "page_id", "left_semi")
+    forest.add(of(history), asking=False)
+    reduce(lambda _, ids: forest.add(of(ids)), batches, "")
+    return forest.answers()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelake.llm import boilerplate, contamination, history_dedup, language, line_repeats, markup, mixing, sentences, template_residue
 from pagelake.plans import sql
@@ -14,8 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history, then each batch of registrations in turn, added to a forest and answered from it."""
     pages = table(spark, sf_dir, "markdown_documents", "page_id", "url", "markdown")
-    return history_dedup.repeats(pages, table(spark, sf_dir, "content_records", "page_id"), table(spark, sf_dir, "registrations", "page_id"))
+    registered = table(spark, sf_dir, "registrations", "page_id", "batch_no").fillna(0, ["batch_no"])
+    numbers = sorted(r[0] for r in registered.select("batch_no").distinct().collect())  # one row a batch
+    batches = [registered.filter(F.col("batch_no") == n).select("page_id") for n in numbers]
+    return history_dedup.repeats(pages, table(spark, sf_dir, "content_records", "page_id"), batches)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagelake.llm import contamination, history_dedup, mixing
@@ -36,7 +37,7 @@ def test_repeats_against_brute_force(spark):
     history = [(i,) for i in range(1, 36)]
     batch = [(i,) for i in (*range(30, 71), 90, 91, 999)]
     got = {tuple(r) for r in history_dedup.repeats(
-        spark.createDataFrame(pages, "page_id long, url string, markdown string, copy string"), spark.createDataFrame(history + history[:4], "page_id long"), spark.createDataFrame([*batch, (None,)], "page_id long")
+        spark.createDataFrame(pages, "page_id long, url string, markdown string, copy string"), spark.createDataFrame(history + history[:4], "page_id long"), [spark.createDataFrame([*batch, (None,)], "page_id long")]
     ).collect()}
     signs = {i: history_dedup.sign([render(t)])[0] for i, t in texts.items()}
     known = {i for i, in history + batch if i in texts}
@@ -58,14 +59,13 @@ def test_dense_ranges_lose_nothing(spark, monkeypatch):
         copy[0][i % 30] = f"own{i}"
         pages.append((i, f"https://a.b/{i}", render(copy)))
     ids = spark.createDataFrame([(i,) for i in range(1, 41)], "page_id long")
-    got = {tuple(r) for r in history_dedup.repeats(spark.createDataFrame(pages, "page_id long, url string, markdown string"), ids.filter("page_id < 5"), ids.filter("page_id >= 5")).collect()}
+    got = {tuple(r) for r in history_dedup.repeats(spark.createDataFrame(pages, "page_id long, url string, markdown string"), ids.filter("page_id < 5"), [ids.filter("page_id >= 5")]).collect()}
     assert got == {(1 if i % 2 else 2, i) for i in range(5, 41)}
 
 
 def test_recall_at_the_limit():
     # A tenth of the words changed as harmfully as lines of each length allow; lines that repeat, too.
     rng = random.Random(5)
-    length = 2 * history_dedup.prefix_length()
     for per_line, shared in ((90, 0), (10, 0), (9, 0), (5, 0), (3, 0), (9, 45)):
         found = 0
         for _ in range(150):
@@ -78,7 +78,9 @@ def test_recall_at_the_limit():
             rng.shuffle(other)
             a, b = history_dedup.sign(["\n".join(" ".join(x) for x in y) for y in (lines, other)])
             assert history_dedup.changed(a[2], b[2]) <= history_dedup.MOST_CHANGED
-            found += any(p[:length] == q[:length] for p, q in zip(a[3], b[3], strict=True))
+            shift = np.uint64(8 * (history_dedup.DEPTH - history_dedup.prefix_length(history_dedup.least_similarity(a[1]))))
+            x, y = (np.frombuffer(s[4], np.uint8).reshape(1, -1) for s in (a, b))
+            found += any(history_dedup.labels(x, t)[0] >> shift == history_dedup.labels(y, t)[0] >> shift for t in range(history_dedup.TREES))
         assert found >= 0.95 * 150, (per_line, shared, found)
 
 
@@ -102,17 +104,65 @@ def test_thai_counts_in_characters():
     assert history_dedup.changed(a[2], c[2]) > history_dedup.MOST_CHANGED
 
 
-def test_runs_merge(spark, tmp_path):
+PAGES = "page_id long, url string, markdown string"
+
+
+def test_batches_give_the_answer_of_one_and_read_no_page_twice(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
-    forest = history_dedup.HashForest(spark, f"file://{tmp_path}/forest")
-    for start in (1, 50):
-        pages = spark.createDataFrame([(i, f"https://a.b/{i}", render(article(rng, 60))) for i in range(start, start + 5)], "page_id long, url string, markdown string")
-        signs = forest.sign(pages)
-        forest.index(signs, history_dedup.folded(signs, pages.select("page_id", F.lit(False).alias("asking"))))
-    before = forest.labels().count()
+    base = [article(rng) for _ in range(12)]
+    texts = {}
+    for i in range(1, 61):
+        copy = [list(p) for p in base[i % 12]]
+        for k in range(i % 5):
+            copy[k % 4][(7 * i + k) % 30] = f"own{i}x{k}"
+        texts[i] = render(copy)
+    frame = lambda ids: spark.createDataFrame([(i, f"https://a.b/{i}", texts[i]) for i in ids], PAGES)
+    order = list(range(1, 61))
+    rng.shuffle(order)
+    parts = [order[:20], order[20:30], order[30:45], order[45:]]
+    whole = history_dedup.HashForest(spark, f"file://{tmp_path}/whole")
+    whole.add(frame(parts[0]), asking=False)
+    whole.add(frame(order[20:]))
+    step, signed_ids, plain = f"file://{tmp_path}/step", [], history_dedup.signed
+    monkeypatch.setattr(history_dedup, "signed", lambda pages: signed_ids.append(sorted(r[0] for r in pages.select("page_id").collect())) or plain(pages))
+    history_dedup.HashForest(spark, step).add(frame(parts[0]), asking=False)
+    for k, part in enumerate(parts[1:]):
+        forest = history_dedup.HashForest(spark, step)  # opened again for each batch
+        forest.add(frame(part))
+        if k == 1:
+            leaves = lambda f: sum(len(r[0]) for r in f._all("leaves", history_dedup._LEAVES, f.runs()).select("ids").collect())
+            size = leaves(forest)
+            forest.merge()
+            assert len(forest.runs()) == 1 and leaves(forest) == size
+    assert signed_ids == [sorted(p) for p in parts]
+    got, expected = ({tuple(r) for r in f.answers().collect()} for f in (history_dedup.HashForest(spark, step), whole))
+    signs = {i: history_dedup.sign([t])[0][2] for i, t in texts.items()}
+    same = {b: min((a for a in texts if a < b and history_dedup.changed(signs[a], signs[b]) <= 0.1), default=None) for b in order[20:]}
+    assert got == expected == {(a, b) for b, a in same.items() if a} and len(got) > 20
+    # Pages of the history that ask later are answered without being signed again; an empty batch adds nothing.
+    forest = history_dedup.HashForest(spark, step)
+    forest.add(frame(parts[0]))
+    forest.add(frame([]))
+    assert signed_ids[4:] == [[], []]
+    every = {b: min((a for a in texts if a < b and history_dedup.changed(signs[a], signs[b]) <= 0.1), default=None) for b in texts}
+    assert {tuple(r) for r in forest.answers().collect()} == {(a, b) for b, a in every.items() if a}
+
+
+def test_merged_leaves_stay_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history_dedup, "LEAF", 8)
+    rng = random.Random(9)
+    same = render(article(rng))
+    pages = [(i, f"https://a.b/{i}", same.replace("x = 1", f"x = {i}") if i % 3 == 0 else render(article(rng))) for i in range(60)]
+    forest = history_dedup.HashForest(spark, f"file://{tmp_path}/f", slots=2)
+    forest.add(spark.createDataFrame(pages[:30], PAGES), asking=False)
+    forest.add(spark.createDataFrame(pages[30:], PAGES))
+    before = {tuple(r) for r in forest.answers().collect()}
     forest.merge()
-    assert len(forest.runs) == 1 and forest.labels().count() == before == 10 * history_dedup.TREES and forest.tokens().count() == 10
-    assert history_dedup.prefix_length(0.9) >= history_dedup.prefix_length(0.5)
+    sizes = [len(r[0]) // 8 for r in forest._all("leaves", history_dedup._LEAVES, forest.runs()).select("ids").collect()]
+    assert max(sizes) <= 16 and sum(sizes) == 60 * history_dedup.TREES
+    assert {tuple(r) for r in forest.answers().collect()} == before and len(before) == 10
+    forest.add(spark.createDataFrame([(100, "https://a.b/100", pages[1][2])], PAGES))
+    assert {tuple(r) for r in forest.answers().collect()} == before | {(1, 100)}
 
 
 def test_leaks(spark):
