@@ -39,7 +39,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,7 +55,9 @@ VALUES, TREES, DEPTH, SHINGLE = 168, 48, 8, 2
 #: Share of tokens that may differ; the recall asked for at the least similarity that leaves.
 MOST_CHANGED, RECALL = 0.1, 0.98
 #: Entries of a leaf; slots of a tree; entries of a range beyond which its earliest is tried first; classes of a token histogram.
-LEAF, SLOTS, DENSE, CLASSES = 1 << 14, 64, 48, 64
+LEAF, SLOTS, DENSE, CLASSES = 1 << 14, 16, 48, 64
+#: A batch of so many leaves' worth of texts is broadcast (at most 80 MB); a larger one is joined by a shuffle.
+SMALL = 4 * LEAF
 #: Shingles hashed at a time, so that they stay in the processor's cache.
 _BLOCK = 1 << 15
 #: Thai letters, vowel and tone marks and digits: pages in Thai count in characters too.
@@ -231,102 +233,132 @@ def leaves(texts: DataFrame, run: int, slots: int = SLOTS) -> DataFrame:
     return texts.select("text_id", "size", "signature", "asking").mapInPandas(of, _LEAVES)
 
 
-def _near(own: dict, other: dict, recall: float, below: bool, most: int) -> Iterator[pd.DataFrame]:
-    """Of one probing leaf and one leaf of the forest in the same slot the pairs (early, late, tree) that may be repeats.
+@lru_cache(maxsize=8)
+def _widening(recall: float, limit: int) -> np.ndarray:
+    """For each size below ``limit`` the bits of a label that a prefix as long as the recall allows leaves open."""
+    depth = prefix_length(least_similarity(np.arange(limit)), recall).astype(np.uint64)
+    return (np.uint64(1) << (np.uint64(8) * (np.uint64(DEPTH) - depth))) - np.uint64(1)
 
-    Of a pair the later text asks. ``tree`` is set where a dense range was searched for its earliest entry only; with
-    ``below`` (the ids that bound the answers still wanted) all of it is searched.
+
+_Pairs = list[tuple[np.ndarray, np.ndarray, bool, bool]]
+
+
+def _near(own: dict, other: dict, recall: float, below: bool, most: int) -> _Pairs:
+    """Of one probing leaf and one leaf of the forest in the same slot the pairs (early ids, late ids, dense, own) that may be repeats.
+
+    Of a pair the later text asks; ``own`` says that it is the probe's. ``dense`` pairs are of ranges searched for their earliest entry only; with
+    ``below`` (the ids that bound the answers still wanted) all of a range is searched.
     """
     label, at_id, at_size = (np.frombuffer(other[c], t) for c, t in (("labels", np.uint64), ("ids", np.int64), ("sizes", np.int32)))
     probe, ids, sizes = (np.frombuffer(own[c], t) for c, t in (("labels", np.uint64), ("ids", np.int64), ("sizes", np.int32)))
     bound = np.frombuffer(own["bounds"], np.int64) if below else ids
-    depth = prefix_length(least_similarity(np.arange(int(sizes.max()) + 1 if len(sizes) else 1)), recall)[sizes]
-    rest = (np.uint64(1) << (np.uint64(8) * (DEPTH - depth).astype(np.uint64))) - np.uint64(1)
+    rest = _widening(recall, 1 << int(sizes.max()).bit_length())[sizes]
     first = np.searchsorted(label, probe & ~rest, side="left")
-    last = np.searchsorted(label, probe | rest, side="right")
-    same_run = own["run"] == other["run"]
+    size = np.searchsorted(label, probe | rest, side="right") - first
     # An earlier entry answers an asking probe; a later one of an earlier run, if it asks, is answered by the probe.
-    back = bool(other["asking"]) and not same_run and not below
-    size = last - first
+    back = bool(other["asking"]) and own["run"] != other["run"] and not below
+    ahead = bool(own["asking"])
+    out: _Pairs = []
+    if not ahead and not back:
+        return out
     dense = np.zeros(len(size), bool) if below else size > most
     todo = np.nonzero((size > 0) & ~dense)[0]
-    step = max(1, int((1 << 20) // max(1, size[todo].max(initial=1))))
+    step = max(1, (1 << 20) // max(1, int(size[todo].max(initial=1))))
     for at in range(0, len(todo), step):
         which = todo[at : at + step]
-        p = np.repeat(which, size[which])
-        e = np.arange(len(p)) - np.repeat(np.cumsum(size[which]) - size[which], size[which]) + np.repeat(first[which], size[which])
-        n, m = sizes[p], at_size[e]
-        close = np.abs(n - m) <= np.maximum(n, m) * MOST_CHANGED
-        ahead = close & (at_id[e] < bound[p]) & (at_id[e] != ids[p]) if own["asking"] else np.zeros(len(p), bool)
-        after = close & (at_id[e] > ids[p]) if back else np.zeros(len(p), bool)
-        yield pd.DataFrame({"early": np.concatenate([at_id[e[ahead]], ids[p[after]]]), "late": np.concatenate([ids[p[ahead]], at_id[e[after]]]), "tree": -1})
+        n = size[which]
+        p = np.repeat(which, n)
+        e = np.arange(len(p)) + np.repeat(first[which] - np.cumsum(n) + n, n)
+        a, b, x, y = ids[p], at_id[e], sizes[p], at_size[e]
+        close = np.abs(x - y) <= np.maximum(x, y) * MOST_CHANGED
+        if ahead:
+            k = close & (b < bound[p]) & (b != a)
+            out.append((b[k], a[k], False, True))
+        if back:
+            k = close & (b > a)
+            out.append((a[k], b[k], False, False))
     if dense.any():
         d = np.nonzero(dense)[0]
-        ranges, of = np.unique(np.stack([first[d], last[d]]), axis=1, return_inverse=True)
+        ranges, of = np.unique(np.stack([first[d], first[d] + size[d]]), axis=1, return_inverse=True)
         of = np.ravel(of)
-        if own["asking"]:
+        if ahead:
             head = np.array([at_id[a:b].min() for a, b in ranges.T.tolist()])[of]
-            keep = head < ids[d]
-            yield pd.DataFrame({"early": head[keep], "late": ids[d][keep], "tree": int(own["tree"])})
+            k = head < ids[d]
+            out.append((head[k], ids[d][k], True, True))
         if back:
             # Entries of earlier runs that ask are first compared with the earliest probe of their range.
             for k, (a, b) in enumerate(ranges.T.tolist()):
                 head = ids[d[of == k]].min()
                 late = np.unique(at_id[a:b][at_id[a:b] > head])
-                yield pd.DataFrame({"early": head, "late": late, "tree": int(own["tree"])})
+                out.append((np.full(len(late), head), late, True, False))
+    return [x for x in out if len(x[0])]
 
 
-def search(probes: DataFrame, forest: DataFrame, recall: float = RECALL, below: bool = False) -> DataFrame:
-    """(early, late, tree) for the leaves ``probes`` of a batch against the leaves of a ``forest``, as ``_near`` gives them."""
-    own = probes.select("tree", "slot", *(F.col(c).alias(f"o_{c}") for c in probes.columns if c not in ("tree", "slot")))
-    both = forest.join(own, ["tree", "slot"])
-    if "low" in probes.columns:
+def search(probes: DataFrame, forest: DataFrame, recall: float = RECALL, below: bool = False, small: bool = False) -> DataFrame:
+    """(early, late, dense, own) for the leaves ``probes`` of a batch against the leaves of a ``forest``, as ``_near`` gives them.
+
+    ``small`` says that the probes are known to be few enough to be broadcast, so that no leaf of the forest is moved.
+    """
+    names, most = [c for c in probes.columns if c not in ("tree", "slot")], DENSE
+    own = probes.select("tree", "slot", *(F.col(c).alias(f"o_{c}") for c in names))
+    both = forest.join(F.broadcast(own) if small else own, ["tree", "slot"])
+    if "low" in names:
         # No prefix is shorter than the least similarity of all sizes allows: ranges that can't meet even at it are left out.
         wide = 64 - 8 * int(prefix_length(least_similarity(np.arange(1, 10_000)), recall).min())
         both = both.filter(f"shiftright(low, {wide}) <= shiftright(o_high, {wide}) AND shiftright(o_low, {wide}) <= shiftright(high, {wide})")
-    names, most = [c for c in probes.columns if c not in ("tree", "slot")], DENSE
+    needed = [c for c in ("labels", "ids", "sizes", "asking", "run", "bounds") if c in names]
+    both = both.select("labels", "ids", "sizes", "asking", "run", *(f"o_{c}" for c in needed))
+
+    def packed(found: _Pairs) -> pd.DataFrame:
+        n = [len(x[0]) for x in found]
+        columns = {"early": np.concatenate([x[0] for x in found]), "late": np.concatenate([x[1] for x in found]), "dense": np.repeat([x[2] for x in found], n), "own": np.repeat([x[3] for x in found], n)}
+        return pd.DataFrame(columns).drop_duplicates()
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: _Pairs = []
+        size = 0
         for b in batches:
-            found = []
-            for row in b.to_dict("records"):
-                own_row = {"tree": row["tree"], **{c: row[f"o_{c}"] for c in names}}
-                for got in _near(own_row, row, recall, below, most):
-                    if len(got):
-                        found.append(got)
-                    if sum(map(len, found)) > 1 << 20:
-                        yield pd.concat(found)
-                        found = []
-            if found:
-                yield pd.concat(found)
+            for row in zip(*(b[c] for c in b.columns), strict=True):
+                other, mine = dict(zip(("labels", "ids", "sizes", "asking", "run"), row, strict=False)), dict(zip(needed, row[5:], strict=True))
+                got = _near(mine, other, recall, below, most)
+                found += got
+                size += sum(len(x[0]) for x in got)
+                if size > 1 << 20:
+                    yield packed(found)
+                    found, size = [], 0
+        if found:
+            yield packed(found)
 
-    return both.mapInPandas(of, "early long, late long, tree int")
+    return both.mapInPandas(of, "early long, late long, dense boolean, own boolean")
 
 
 class HashForest:
     """Runs of sorted leaves under one folder, which any later session opens again by the folder's name.
 
-    A run holds its pages' texts (each distinct article once, named by its
-    earliest page of the run), its pages, its leaves, and the links found when it
-    was added. The manifest names the runs in force; it is swapped at once.
+    ``sign`` writes what pages are compared by, once for each page. A run holds its pages, each distinct article once
+    in its leaves (named by its earliest page of the run), and the links found when it
+    was added. The manifest names the tables in force; it is swapped at once.
     """
 
     def __init__(self, spark: SparkSession, path: str, recall: float = RECALL, slots: int = SLOTS) -> None:
         self.spark, self.path, self.recall, self.slots = spark, path.rstrip("/"), recall, slots
         self.pointer = Pointer(spark, self.path)
 
-    def runs(self) -> list[str]:
+    def manifest(self) -> dict[str, list[str]]:
         content = self.pointer.read()
-        return json.loads(content) if content else []
+        return json.loads(content) if content else {"signs": [], "runs": []}
+
+    def runs(self) -> list[str]:
+        return self.manifest()["runs"]
 
     def _all(self, table: str, schema: str, runs: list[str]) -> DataFrame:
         if not runs:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{r}/{table}" for r in runs))
 
-    def texts(self, runs: list[str] | None = None) -> DataFrame:
-        """(page_id, copy, size, tokens, histogram, signature) of all pages with an article, those that name no text included."""
-        return self._all("signs", _SIGNED, self.runs() if runs is None else runs)
+    def signs(self, tables: list[str] | None = None) -> DataFrame:
+        """(page_id, copy, size, tokens, histogram, signature) of all signed pages."""
+        return self._all("signs", _SIGNED, self.manifest()["signs"] if tables is None else tables)
 
     def pages(self, runs: list[str] | None = None) -> DataFrame:
         """(page_id, text_id) of all pages."""
@@ -340,58 +372,73 @@ class HashForest:
         """(early, late): texts that are the same; the later one asks."""
         return self._all("links", "early long, late long", self.runs())
 
+    def sign(self, pages: DataFrame) -> str:
+        """Signs ``pages`` (page_id, url, markdown), which belong to no run yet; the name of what was written."""
+        version, name = self.pointer.version(), f"signs-{uuid.uuid4().hex}"
+        signed(pages).write.parquet(f"{self.path}/{name}/signs")
+        now = self.manifest()
+        self.pointer.swap(json.dumps({**now, "signs": [*now["signs"], name]}), version)
+        return name
+
     def add(self, pages: DataFrame, asking: bool = True) -> str:
-        """Adds a batch of ``pages`` (page_id, url, markdown) as a new run and links it; the run's name.
+        """Signs a batch of ``pages`` (page_id, url, markdown) that the forest hasn't seen and adds it as ``add_signed`` does."""
+        ids = cut(pages.select("page_id").filter("page_id IS NOT NULL").distinct())
+        held = self.pages().join(ids, "page_id", "left_semi").select("page_id")
+        return self.add_signed(ids, asking, [self.sign(pages.join(held, "page_id", "left_anti"))])
+
+    def add_signed(self, ids: DataFrame, asking: bool = True, tables: list[str] | None = None) -> str:
+        """Adds the signed pages ``ids`` (page_id) as a new run and links them; the run's name.
 
-        Pages of earlier batches aren't signed again. With ``asking`` the batch's pages are to be answered.
+        ``tables`` of signs are looked through for them, all by default. With ``asking`` the pages are to be answered.
+        A page delivered with two articles counts with both. Pages of earlier runs may ask, too.
         """
-        before = self.runs()
-        version = self.pointer.version()
+        before, version = self.runs(), self.pointer.version()
         number, name = len(before), f"run-{version}-{uuid.uuid4().hex}"
         home = f"{self.path}/{name}"
-        ids = cut(pages.select("page_id").filter("page_id IS NOT NULL").distinct())
+        ids = cut(ids.select("page_id").filter("page_id IS NOT NULL").distinct())
         old = cut(self.pages(before).join(ids, "page_id", "left_semi").distinct()) if before else None
-        fresh = pages if old is None or old.isEmpty() else pages.join(old.select("page_id"), "page_id", "left_anti")
-        signed(fresh).write.parquet(f"{home}/signs")
-        signs = self.spark.read.schema(_SIGNED).parquet(f"{home}/signs")
-        named = signs.select("page_id", "copy")
-        heads = named.groupBy("copy").agg(F.min("page_id").alias("text_id"))
-        named.join(heads, "copy").select("page_id", "text_id").distinct().write.parquet(f"{home}/pages")
-        own_pages = self.pages([name])
-        # Nothing but what the leaves take is moved; a page delivered with two articles counts with both.
-        narrow = signs.select(F.col("page_id").alias("text_id"), "copy", "size", "signature")
-        entries = narrow.join(heads, ["copy", "text_id"], "left_semi").dropDuplicates(["copy", "text_id"]).select("text_id", "size", "signature", F.lit(asking).alias("asking"))
-        askers = own_pages if asking else own_pages.limit(0)
-        if asking and old is not None and not old.isEmpty():
-            # Pages of earlier batches that ask for the first time have entries that say so.
+        if old is not None and old.isEmpty():
+            old = None
+        fresh = ids if old is None else ids.join(old, "page_id", "left_anti")
+        # Nothing but what the leaves take is moved.
+        signs = self.signs(tables)
+        narrow = cut(signs.select("page_id", "copy", "size", "signature").join(fresh, "page_id", "left_semi"))
+        heads = narrow.groupBy("copy").agg(F.min("page_id").alias("text_id"))
+        named = cut(narrow.select("page_id", "copy").join(heads, "copy").select("page_id", "text_id").distinct())
+        named.write.parquet(f"{home}/pages")
+        first = named.filter("page_id = text_id").select("page_id")
+        entries = narrow.join(first, "page_id", "left_semi").dropDuplicates(["page_id", "copy"]).select(F.col("page_id").alias("text_id"), "size", "signature", F.lit(asking).alias("asking"))
+        askers = named if asking else named.limit(0)
+        if asking and old is not None:
+            # Pages of earlier runs that ask for the first time have entries that say so.
             askers = askers.unionByName(old)
-            again = self.texts(before).join(old.select(F.col("text_id").alias("page_id")).distinct(), "page_id", "left_semi")
+            again = self.signs().join(old.select(F.col("text_id").alias("page_id")).distinct(), "page_id", "left_semi")
             entries = entries.unionByName(again.select(F.col("page_id").alias("text_id"), "size", "signature", F.lit(True).alias("asking")))
-        entries = cut(entries)
         askers.distinct().write.parquet(f"{home}/asked")
-        parts = max(1, -(-entries.count() // LEAF))
-        leaves(entries.repartition(parts), number, self.slots).write.option("compression", "zstd").parquet(f"{home}/leaves")
+        entries = cut(entries)
+        size = entries.count()
+        leaves(entries.repartition(max(1, -(-size // LEAF))), number, self.slots).write.option("compression", "zstd").parquet(f"{home}/leaves")
         if asking or before:
-            self._link([*before, name], name)
+            self._link([*before, name], name, entries.select("text_id"), size <= SMALL)
         else:
             self._all("links", "early long, late long", []).write.parquet(f"{home}/links")
-        self.pointer.swap(json.dumps([*before, name]), version)
+        self.pointer.swap(json.dumps({**self.manifest(), "runs": [*before, name]}), version)
         return name
 
-    def _link(self, runs: list[str], name: str) -> None:
-        probes = self._all("leaves", _LEAVES, [name])
-        near = cut(search(probes, self._all("leaves", _LEAVES, runs), self.recall).groupBy("early", "late").agg(F.max("tree").alias("tree"), F.count_if(F.col("tree") >= 0).alias("n")))
-        same = cut(self.verify(near.select("early", "late"), runs))
+    def _link(self, runs: list[str], name: str, own: DataFrame, small: bool) -> None:
+        probes, forest = self._all("leaves", _LEAVES, [name]), self._all("leaves", _LEAVES, runs)
+        near = cut(search(probes, forest, self.recall, small=small).groupBy("early", "late").agg(F.max("dense").alias("dense"), F.max("own").alias("own")))
+        same = cut(self.verify(near, own if small else None))
         # Askers for which the earliest entry of some dense range was no answer, or not their earliest one.
-        dense = near.filter("n > 0")
+        dense = near.filter("dense")
         if not dense.isEmpty():
             answers = same.groupBy("late").agg(F.min("early").alias("answer"))
-            left = dense.join(answers, "late", "left").filter("answer IS NULL OR answer <> early").select(F.col("late").alias("text_id"), F.coalesce("answer", "late").alias("bound")).distinct()
-            left = left.groupBy("text_id").agg(F.min("bound").alias("bound"))
-            asking = self._all("leaves", _LEAVES, runs).filter("asking")
-            rest = search(self._bounded(asking, cut(left)), self._all("leaves", _LEAVES, runs), self.recall, below=True)
-            rest = cut(rest.select("early", "late").distinct().join(near.select("early", "late"), ["early", "late"], "left_anti"))
-            same = same.unionByName(self.verify(rest, runs))
+            left = dense.join(answers, "late", "left").filter("answer IS NULL OR answer <> early").groupBy(F.col("late").alias("text_id")).agg(F.min(F.coalesce("answer", "late")).alias("bound"))
+            left = cut(left)
+            if not left.isEmpty():
+                rest = search(self._bounded(forest.filter("asking"), left), forest, self.recall, below=True)
+                rest = cut(rest.select("early", "late").distinct().join(near.select("early", "late"), ["early", "late"], "left_anti"))
+                same = same.unionByName(self.verify(rest))
         same.select("early", "late").write.parquet(f"{self.path}/{name}/links")
 
     def _bounded(self, probes: DataFrame, left: DataFrame) -> DataFrame:
@@ -412,16 +459,21 @@ class HashForest:
         # Parts of at most 4096 entries bound what one task holds.
         return rows.groupBy("tree", "slot", "run", "part").applyInPandas(packed, "tree int, slot int, asking boolean, labels binary, ids binary, sizes binary, bounds binary, run int")
 
-    def verify(self, pairs: DataFrame, runs: list[str] | None = None, most_changed: float = MOST_CHANGED) -> DataFrame:
-        """(early, late): the pairs whose articles are the same up to the changes allowed."""
-        texts = self.texts(runs)
+    def verify(self, pairs: DataFrame, own: DataFrame | None = None, most_changed: float = MOST_CHANGED) -> DataFrame:
+        """(early, late): the pairs whose articles are the same up to the changes allowed.
 
-        def sides(pairs: DataFrame, *columns: str) -> DataFrame:
-            """The pairs with the columns of both texts, named n, m and x, y; the texts are cut down to those wanted first."""
-            wanted = cut(pairs.select(F.col("early").alias("page_id")).unionByName(pairs.select(F.col("late").alias("page_id"))).distinct())
-            got = cut(texts.select("page_id", *columns).join(wanted, "page_id", "left_semi").distinct())
-            side = lambda of, names: got.select(F.col("page_id").alias(of), *(F.col(c).alias(x) for c, x in zip(columns, names, strict=False)))
-            return pairs.select("early", "late").join(side("early", "xn"), "early").join(side("late", "ym"), "late")
+        ``own`` (text_id) are the texts of a small batch, which the late sides of pairs with ``own`` set belong to.
+        """
+        signs = self.signs()
+        side = lambda t, of, **c: t.select(F.col("page_id").alias(of), *(F.col(a).alias(b) for b, a in c.items()))
+        short = signs.select("page_id", "size", "histogram")
+        early = pairs.join(side(short, "early", n="size", x="histogram"), "early")
+        late = side(short, "late", m="size", y="histogram")
+        if own is not None:
+            mine = F.broadcast(late.join(F.broadcast(own), F.col("late") == F.col("text_id"), "left_semi"))
+            sized = early.filter("own").join(mine, "late").unionByName(early.filter("NOT own").join(late, "late"), allowMissingColumns=True)
+        else:
+            sized = early.join(late, "late")
 
         def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -431,14 +483,17 @@ class HashForest:
                     most = np.maximum(np.maximum(net, 0).sum(1), np.maximum(-net, 0).sum(1))
                     yield b.loc[most <= most_changed * np.maximum(b["n"], b["m"]).to_numpy(), ["early", "late"]]
 
-        likely = cut(sides(pairs, "histogram", "size").select("early", "late", "n", "m", "x", "y").mapInPandas(possible, "early long, late long").distinct())
+        likely = cut(sized.select("early", "late", "n", "m", "x", "y").mapInPandas(possible, "early long, late long").distinct())
+        wanted = cut(likely.select(F.col("early").alias("page_id")).unionByName(likely.select(F.col("late").alias("page_id"))).distinct())
+        whole = cut(signs.select("page_id", "tokens").join(wanted, "page_id", "left_semi").distinct())
 
         def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 keep = [changed(x, y) <= most_changed for x, y in zip(b["x"], b["y"], strict=True)]
                 yield b.loc[keep, ["early", "late"]]
 
-        return sides(likely, "tokens").select("early", "late", "x", "y").mapInPandas(of, "early long, late long").distinct()
+        both = likely.join(side(whole, "early", x="tokens"), "early").join(side(whole, "late", y="tokens"), "late")
+        return both.select("early", "late", "x", "y").mapInPandas(of, "early long, late long").distinct()
 
     def merge(self, runs: list[str] | None = None) -> str:
         """One run of ``runs`` (all by default): small leaves of a slot become larger ones, sorted anew; the old runs stay for readers that still use them."""
@@ -446,7 +501,7 @@ class HashForest:
         runs = now if runs is None else runs
         name = f"run-{version}-{uuid.uuid4().hex}"
         home, number = f"{self.path}/{name}", min(map(now.index, runs), default=0)
-        for table, schema in (("signs", _SIGNED), ("pages", "page_id long, text_id long"), ("asked", "page_id long, text_id long"), ("links", "early long, late long")):
+        for table, schema in (("pages", "page_id long, text_id long"), ("asked", "page_id long, text_id long"), ("links", "early long, late long")):
             self._all(table, schema, runs).distinct().write.option("compression", "zstd").parquet(f"{home}/{table}")
 
         # A slot of more entries than a leaf takes is divided by further bits of the label, so that its leaves are disjoint ranges;
@@ -477,7 +532,7 @@ class HashForest:
         parts.groupBy("tree", "slot", "asking", "sub", "part").applyInPandas(joined, _LEAVES).write.option("compression", "zstd").parquet(f"{home}/leaves")
         at = {r: k for k, r in enumerate(now)}
         left = [r for r in now if r not in runs]
-        self.pointer.swap(json.dumps(sorted([*left, name], key=lambda r: at.get(r, number))), version)
+        self.pointer.swap(json.dumps({**self.manifest(), "runs": sorted([*left, name], key=lambda r: at.get(r, number))}), version)
         return name
 
     def answers(self) -> DataFrame:
@@ -505,12 +560,13 @@ def changed(x: bytes, y: bytes) -> float:
 def repeats(pages: DataFrame, history: DataFrame, batches: list[DataFrame], forest: HashForest | None = None) -> DataFrame:
     """(page_id_a, page_id_b): for each page b of ``batches`` the earliest page a < b of history or batches with the same article.
 
-    ``history`` and each batch have page_id; ``pages`` has page_id, url, markdown. The history and each batch in turn
-    are added to ``forest``, a new one in the shared folder by default.
+    ``history`` and each batch have page_id; ``pages`` has page_id, url, markdown of them all and is read once. The history and each
+    batch in turn are added to ``forest``, a new one in the shared folder by default.
     """
     spark = pages.sparkSession
     forest = forest or HashForest(spark, f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}")
-    of = lambda ids: pages.join(ids.select("page_id").filter("page_id IS NOT NULL").distinct(), "page_id", "left_semi")
-    forest.add(of(history), asking=False)
-    reduce(lambda _, ids: forest.add(of(ids)), batches, "")
+    tables = [forest.sign(pages)]
+    forest.add_signed(history, False, tables)
+    for ids in batches:
+        forest.add_signed(ids, True, tables)
     return forest.answers()
