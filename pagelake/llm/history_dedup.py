@@ -198,11 +198,12 @@ def leaves(texts: DataFrame, run: int, slots: int = SLOTS) -> DataFrame:
     """The leaves of ``texts`` (text_id, size, signature, asking): for each tree and slot the entries sorted by label.
 
     A leaf holds the entries of one chunk of at most ``LEAF`` texts, so it is a bounded row; asking and
-    other texts have leaves of their own.
+    other texts have leaves of their own. A column bound of the texts is carried along as bounds.
     """
+    bounded = "bound" in texts.columns
     shift = np.uint64(64 - int(np.log2(slots)))
 
-    def rows(ids: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, asking: bool) -> Iterator[tuple]:
+    def rows(ids: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, bounds: np.ndarray, asking: bool) -> Iterator[tuple]:
         for tree in range(TREES):
             label = labels(signatures, tree)
             order = np.lexsort((ids, label))
@@ -210,7 +211,7 @@ def leaves(texts: DataFrame, run: int, slots: int = SLOTS) -> DataFrame:
             slot = (label >> shift).astype(np.int64)
             cuts = np.nonzero(np.diff(slot))[0] + 1
             for s, part, own in zip(slot[np.concatenate([[0], cuts])].tolist(), np.split(label, cuts), np.split(order, cuts), strict=True):
-                yield tree, s, asking, _signed(part[0]), _signed(part[-1]), part.tobytes(), ids[own].tobytes(), sizes[own].tobytes(), run
+                yield tree, s, asking, _signed(part[0]), _signed(part[-1]), part.tobytes(), ids[own].tobytes(), sizes[own].tobytes(), run, bounds[own].tobytes()
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -219,7 +220,9 @@ def leaves(texts: DataFrame, run: int, slots: int = SLOTS) -> DataFrame:
             b = pd.concat(held)
             for asking, part in b.groupby(b["asking"].astype(bool)):
                 signatures = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(-1, VALUES)
-                yield pd.DataFrame(list(rows(part["text_id"].to_numpy(np.int64), part["size"].to_numpy(np.int32), signatures, bool(asking))), columns=[c.split()[0] for c in _LEAVES.split(", ")])
+                got = rows(part["text_id"].to_numpy(np.int64), part["size"].to_numpy(np.int32), signatures, part["bound" if bounded else "text_id"].to_numpy(np.int64), bool(asking))
+                frame = pd.DataFrame(list(got), columns=[*(c.split()[0] for c in _LEAVES.split(", ")), "bounds"])
+                yield frame if bounded else frame.drop(columns="bounds")
             held.clear()
 
         for b in batches:
@@ -230,7 +233,7 @@ def leaves(texts: DataFrame, run: int, slots: int = SLOTS) -> DataFrame:
         if sum(map(len, held)):
             yield from packed()
 
-    return texts.select("text_id", "size", "signature", "asking").mapInPandas(of, _LEAVES)
+    return texts.select("text_id", "size", "signature", "asking", *["bound"] * bounded).mapInPandas(of, _LEAVES + ", bounds binary" * bounded)
 
 
 @lru_cache(maxsize=8)
@@ -404,8 +407,8 @@ class HashForest:
         signs = self.signs(tables)
         narrow = cut(signs.select("page_id", "copy", "size", "signature").join(fresh, "page_id", "left_semi"))
         heads = narrow.groupBy("copy").agg(F.min("page_id").alias("text_id"))
-        named = cut(narrow.select("page_id", "copy").join(heads, "copy").select("page_id", "text_id").distinct())
-        named.write.parquet(f"{home}/pages")
+        narrow.select("page_id", "copy").join(heads, "copy").select("page_id", "text_id").distinct().write.parquet(f"{home}/pages")
+        named = self.pages([name])
         first = named.filter("page_id = text_id").select("page_id")
         entries = narrow.join(first, "page_id", "left_semi").dropDuplicates(["page_id", "copy"]).select(F.col("page_id").alias("text_id"), "size", "signature", F.lit(asking).alias("asking"))
         askers = named if asking else named.limit(0)
@@ -414,7 +417,7 @@ class HashForest:
             askers = askers.unionByName(old)
             again = self.signs().join(old.select(F.col("text_id").alias("page_id")).distinct(), "page_id", "left_semi")
             entries = entries.unionByName(again.select(F.col("page_id").alias("text_id"), "size", "signature", F.lit(True).alias("asking")))
-        askers.distinct().write.parquet(f"{home}/asked")
+        askers.write.parquet(f"{home}/asked")
         entries = cut(entries)
         size = entries.count()
         leaves(entries.repartition(max(1, -(-size // LEAF))), number, self.slots).write.option("compression", "zstd").parquet(f"{home}/leaves")
@@ -428,41 +431,25 @@ class HashForest:
     def _link(self, runs: list[str], name: str, own: DataFrame, small: bool) -> None:
         probes, forest = self._all("leaves", _LEAVES, [name]), self._all("leaves", _LEAVES, runs)
         near = cut(search(probes, forest, self.recall, small=small).groupBy("early", "late").agg(F.max("dense").alias("dense"), F.max("own").alias("own")))
-        same = cut(self.verify(near, own if small else None))
-        # Askers for which the earliest entry of some dense range was no answer, or not their earliest one.
-        dense = near.filter("dense")
-        if not dense.isEmpty():
+        some = near.agg(F.coalesce(F.max("dense"), F.lit(False)).alias("dense"), F.coalesce(F.min("own"), F.lit(True)).alias("own")).first()
+        same = cut(self.verify(near, own if small and some["own"] else None))
+        if some["dense"]:
+            # Askers for which the earliest entry of some dense range was no answer, or not their earliest one.
             answers = same.groupBy("late").agg(F.min("early").alias("answer"))
-            left = dense.join(answers, "late", "left").filter("answer IS NULL OR answer <> early").groupBy(F.col("late").alias("text_id")).agg(F.min(F.coalesce("answer", "late")).alias("bound"))
-            left = cut(left)
-            if not left.isEmpty():
-                rest = search(self._bounded(forest.filter("asking"), left), forest, self.recall, below=True)
-                rest = cut(rest.select("early", "late").distinct().join(near.select("early", "late"), ["early", "late"], "left_anti"))
-                same = same.unionByName(self.verify(rest))
+            left = near.filter("dense").join(answers, "late", "left").filter("answer IS NULL OR answer <> early")
+            left = left.groupBy(F.col("late").alias("page_id")).agg(F.min(F.coalesce("answer", "late")).alias("bound"))
+            entries = cut(self.signs().select("page_id", "size", "signature").join(cut(left), "page_id").select(F.col("page_id").alias("text_id"), "size", "signature", F.lit(True).alias("asking"), "bound"))
+            size = entries.count()
+            again = cut(leaves(entries.repartition(max(1, -(-size // LEAF))), -1, self.slots).drop("low", "high"))
+            rest = search(again, forest, self.recall, below=True, small=size <= SMALL)
+            rest = cut(rest.select("early", "late").distinct().join(near.select("early", "late"), ["early", "late"], "left_anti"))
+            same = same.unionByName(self.verify(rest))
         same.select("early", "late").write.parquet(f"{self.path}/{name}/links")
 
-    def _bounded(self, probes: DataFrame, left: DataFrame) -> DataFrame:
-        """The leaves ``probes`` with the texts of ``left`` (text_id, bound) only."""
-
-        def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for r in b.to_dict("records"):
-                    n = len(r["ids"]) // 8
-                    yield pd.DataFrame({"tree": r["tree"], "slot": r["slot"], "run": r["run"], "label": np.frombuffer(r["labels"], np.int64), "text_id": np.frombuffer(r["ids"], np.int64), "size": np.frombuffer(r["sizes"], np.int32), "part": np.arange(n) // 4096})
-
-        def packed(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-            b = b.iloc[np.argsort(b["label"].to_numpy().view(np.uint64), kind="stable")]
-            of = lambda c, t: b[c].to_numpy(t).tobytes()
-            return pd.DataFrame({"tree": [key[0]], "slot": [key[1]], "asking": [True], "labels": [of("label", np.int64)], "ids": [of("text_id", np.int64)], "sizes": [of("size", np.int32)], "bounds": [of("bound", np.int64)], "run": [key[2]]})
-
-        rows = probes.mapInPandas(entries, "tree int, slot int, run int, label long, text_id long, size int, part long").join(left, "text_id")
-        # Parts of at most 4096 entries bound what one task holds.
-        return rows.groupBy("tree", "slot", "run", "part").applyInPandas(packed, "tree int, slot int, asking boolean, labels binary, ids binary, sizes binary, bounds binary, run int")
-
     def verify(self, pairs: DataFrame, own: DataFrame | None = None, most_changed: float = MOST_CHANGED) -> DataFrame:
         """(early, late): the pairs whose articles are the same up to the changes allowed.
 
-        ``own`` (text_id) are the texts of a small batch, which the late sides of pairs with ``own`` set belong to.
+        ``own`` (text_id) are the texts of a small batch, if all late sides are of it.
         """
         signs = self.signs()
         side = lambda t, of, **c: t.select(F.col("page_id").alias(of), *(F.col(a).alias(b) for b, a in c.items()))
@@ -470,10 +457,8 @@ class HashForest:
         early = pairs.join(side(short, "early", n="size", x="histogram"), "early")
         late = side(short, "late", m="size", y="histogram")
         if own is not None:
-            mine = F.broadcast(late.join(F.broadcast(own), F.col("late") == F.col("text_id"), "left_semi"))
-            sized = early.filter("own").join(mine, "late").unionByName(early.filter("NOT own").join(late, "late"), allowMissingColumns=True)
-        else:
-            sized = early.join(late, "late")
+            late = F.broadcast(late.join(F.broadcast(own), F.col("late") == F.col("text_id"), "left_semi"))
+        sized = early.join(late, "late")
 
         def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
