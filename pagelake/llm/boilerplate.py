@@ -208,6 +208,11 @@ class Boilerplate:
                 after = p.title_at + 1
                 if after < len(p.rows) and p.line_no[after] == p.line_no[p.title_at] + 1 and _SETEXT.match(p.raw[p.line_no[after] - 1]):
                     found[at + after] = False
+            own = slice(at, at + len(p.rows))
+            body = lines[own, 12] == 0
+            # A page has something to say under its headings: the likeliest line stays.
+            if body.any() and found[own][body].all():
+                found[at + np.nonzero(body)[0][s[own][body].argmin()]] = False
             at += len(p.rows)
         # An article group all of whose lines chose furniture is furniture all the same: both give the same lines.
         cuts = np.cumsum([len(p.rows) for p in pages])[:-1]

@@ -32,7 +32,7 @@ from pagelake.functions import urls
 from pagelake.functions.text import strip
 from pagelake.llm.boilerplate import split_batch
 from pagelake.llm.markup import without_code
-from pagelake.llm.template_residue import examine, induced
+from pagelake.llm.template_residue import EXAMINED, examine, residue_pages
 from pagelake.session import cut
 
 MODEL = Path(__file__).parent / "models" / "language.npz"
@@ -187,10 +187,10 @@ def language_facts(pages: DataFrame) -> DataFrame:
             residue = [examine(a, t, x) for a, t, x in zip(articles, text("title"), bare, strict=True)]
             found = decide([x if not r[0] else "" for x, r in zip(bare, residue, strict=True)])
             got = [[{"code": k, "confidence": round(v, 4)} for k, v in page_languages(x)] for x in found]
-            yield pd.DataFrame({"page_id": b["page_id"], "host": b["host"], "hit": [h for h, _ in residue], "lines": [x for _, x in residue], "languages": got, "language": b["language"]})
+            yield pd.DataFrame({"page_id": b["page_id"], "host": b["host"], **{c: [r[k] for r in residue] for k, c in enumerate(("hit", "lines", "records"))}, "languages": got, "language": b["language"]})
 
     rows = pages.select("page_id", "url", "title", "language", "markdown", urls.host(F.col("url")).alias("host")).filter("page_id IS NOT NULL")
-    schema = "page_id long, host string, hit boolean, lines array<array<string>>, languages array<struct<code string, confidence double>>, language string"
+    schema = f"page_id long, host string, {EXAMINED}, languages array<struct<code string, confidence double>>, language string"
     return rows.mapInPandas(of, schema)
 
 
@@ -205,7 +205,7 @@ def corrected(pages: DataFrame) -> DataFrame:
     Pages of template residue or error messages are left out. Rows are distinct.
     """
     facts = cut(language_facts(pages))
-    rows = facts.filter("NOT hit AND size(languages) > 0").join(induced(facts), "page_id", "left_anti")
+    rows = facts.filter("NOT hit AND size(languages) > 0").join(residue_pages(pages, facts), "page_id", "left_anti")
     right = F.coalesce(label_code(F.col("language")) == F.col("languages")[0]["code"], F.lit(False))
     wrong = rows.filter((F.size("languages") > 1) | ~right).select("page_id", F.explode("languages").alias("x"))
     return wrong.groupBy("page_id", F.col("x.code").alias("language_code")).agg(F.max("x.confidence").alias("confidence"))

@@ -46,10 +46,10 @@ _CLOSES = {
 _FENCE = re.compile(r"^[ ]{0,3}(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)\n(?:(?:.*\n)*?[ ]{0,3}(?:\1`*|\2~*)[ \t]*(?=\n|\Z)|[\s\S]*\Z)", re.M)
 _INDENTED = re.compile(r"(?:(?<=\n\n)|\A)(?:(?:[ ]{4}|\t)[^\n]*(?:\n+(?=[ ]{4}|\t)|\n|\Z))+")
 _INLINE = re.compile(r"(?<!`)`(?!`)[^`\n]+`(?!`)|``(?!`)(?:(?!\n\n)[\s\S])+?``|`(?!`)(?:[^`\n]|\n(?!\n))+`")
-_FORMULA = re.compile(r"\$\$[^$]+\$\$|(?<![\\$\w])\$(?![\s{])[^$\n]+?(?<![\s\\])\$(?![\d{$])")
-_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)(/?)>|<!--[\s\S]*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<!\[CDATA\[([\s\S]*?)\]\]>", re.I)
+FORMULA = re.compile(r"\$\$[^$]+\$\$|(?<![\\$\w])\$(?![\s{])[^$\n]+?(?<![\s\\])\$(?![\d{$])")
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)(/?)>|<!--[\s\S]*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<!\[CDATA\[([\s\S]*?)\]\]>", re.I)
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-_WIKI = re.compile(
+WIKI = re.compile(
     r"^={1,6}[ \t]*[^=\n][^\n]*?=={0,5}[ \t]*$(?<!^=)|'''?[^'\n]+'''?|\[\[[^\[\]\n]+\]\]|^\{\||^\|\}|^\|-|^h[1-6]\.[ \t]|\{(?:noformat|code|quote|panel)[^}\n]*\}"
     r"|^\|\|[^\n]+\|\||__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX)__|^[:;]{2,}[ \t]|<nowiki>|<ref[ >]|\{\{(?:[Cc]ite|[Ii]nfobox|reflist)[^}]*\}\}",
     re.M,
@@ -120,7 +120,7 @@ def _tree(text: str) -> _Node:
     root = _Node("")
     stack = [root]
     at = 0
-    for m in _TAG.finditer(text):
+    for m in TAG.finditer(text):
         if m.start() < at:
             continue
         name = (m[2] or "").lower()
@@ -211,7 +211,7 @@ def _from_latex(text: str) -> str:
     text = re.sub(r"\\begin\{(equation|align|displaymath|gather|eqnarray|math)\*?\}([\s\S]*?)\\end\{\1\*?\}", lambda m: f"\n$${m[2].strip()}$$\n", text)
     text = re.sub(r"\\begin\{(?:verbatim|lstlisting)\}(?:\[[^\]]*\])?\n?([\s\S]*?)\n?\\end\{(?:verbatim|lstlisting)\}", r"\n```\n\1\n```\n", text)
     formulas = _Aside("f")
-    text = _FORMULA.sub(formulas.keep, text)
+    text = FORMULA.sub(formulas.keep, text)
     text = re.sub(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?", "", text)
     for level, name in enumerate(("chapter", "section", "subsection", "subsubsection", "paragraph"), 1):
         text = re.sub(rf"\\{name}\*?\{{([^{{}}]*)\}}", lambda m, k=level: f"\n{'#' * k} {m[1].strip()}\n", text)
@@ -262,7 +262,7 @@ def _from_wiki(text: str) -> str:
     return code.restore(re.sub(r"^[:;]{2,}[ \t]+", "", text, flags=re.M))
 
 
-def _is_html(m: re.Match[str]) -> bool:
+def is_html(m: re.Match[str]) -> bool:
     return not m[2] or m[2].lower() in ELEMENTS
 
 
@@ -277,17 +277,17 @@ def clean(text: str | None) -> tuple[str | None, list[str]]:
     body = _FENCE.sub(aside.keep, text) if "```" in text or "~~~" in text else text
     body = _INDENTED.sub(lambda m: aside.keep(m) + "\n", body) if "    " in body or "\t" in body else body
     body = _INLINE.sub(aside.keep, body) if "`" in body else body
-    body = _FORMULA.sub(aside.keep, body) if "$" in body else body
+    body = FORMULA.sub(aside.keep, body) if "$" in body else body
     if "\\" in body and _LATEX.search(body):
         kinds.add("latex")
         body = _from_latex(body)
-        body = _FORMULA.sub(aside.keep, body) if "$" in body else body
-    if _WIKI.search(body):
+        body = FORMULA.sub(aside.keep, body) if "$" in body else body
+    if WIKI.search(body):
         kinds.add("wiki")
         body = _from_wiki(body)
         body = _FENCE.sub(aside.keep, body) if "```" in body else body
     for _ in range(3):  # escaped tags are tags once unescaped
-        tags = "<" in body and any(_is_html(m) for m in _TAG.finditer(body))
+        tags = "<" in body and any(is_html(m) for m in TAG.finditer(body))
         entity = "&" in body and any(html.unescape(m.group()) != m.group() for m in _ENTITY.finditer(body))
         if not tags and not entity:
             break

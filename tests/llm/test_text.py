@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pagelake.llm import language, markup, sentences, template_residue
 from pagelake.llm.boilerplate import split_batch
 
@@ -115,3 +117,39 @@ def test_sentence_rows(spark):
 def test_article_split_is_stable_under_batching():
     pages = ["\n\n".join(random.Random(i).choice(list(TEXTS.values())) for _ in range(4)) for i in range(6)]
     assert split_batch(pages, [None] * 6) == [split_batch([p], [None])[0] for p in pages]
+
+
+def test_slots_are_induced_by_alignment(spark, monkeypatch):
+    # Forms that no list holds: records of one shape over several hosts, each with another name.
+    monkeypatch.setattr(template_residue, "slot_templates", lambda: {})
+    monkeypatch.setattr(template_residue, "blank_records", frozenset)
+    text = "The coordinator reads the page list before each restart and writes it back once a minute.\n\n"
+    forms = ("Dear __USER_{}__, welcome", "Send it to <YOUR_{}> now", "Open ~~{}~~ and close it", "see [{}] for more", "at 5 % of {} % of it", "Home > {} > End", "#{} one, two# here")
+    rows = []
+    for k, form in enumerate(forms):
+        for n in range(6):
+            name = ("ALPHA", "BRAVO", "CHARLIE", "DELTA", "ECHO", "FOXTROT")[n]
+            rows.append((10 * k + n, f"https://h{n}.example/{k}", None, "# Notes\n\n" + text + form.format(name) + ".\n"))
+    facts = spark.createDataFrame(rows, "page_id long, url string, title string, markdown string").select("page_id", F.concat(F.lit("h"), F.col("page_id") % 10).alias("host"), "markdown")
+    facts = spark.createDataFrame(
+        [(r["page_id"], r["host"], False, [], template_residue.records(r["markdown"])) for r in facts.collect()], f"page_id long, host string, {template_residue.EXAMINED}"
+    )
+    got = {tuple(r["template"]) for r in template_residue.unfilled(facts).collect()}
+    assert got == {("<", "YOUR", "_", None, ">"), ("__", "USER", "_", None, "__")}
+    pages = {r["page_id"] // 10 for r in template_residue.residue_slots(facts).collect()}
+    assert {0, 1} <= pages and pages.isdisjoint({2, 3, 4, 5})
+    # A name that all records share is no slot; too few hosts are no template.
+    same = facts.withColumn("records", F.array(F.array(*(F.lit(x) for x in ("<", "YOUR", "_", "NAME", ">")))))
+    assert template_residue.unfilled(same).count() == 0 and template_residue.unfilled(facts.filter("page_id % 10 < 2")).count() == 0
+    assert template_residue.unfilled(facts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, hit", [("Hello {{ }}, dear", True), ("[Your  name] is missing", True), ("Hello {{ user }}!", True), ("see [1] and [note]", False), ("{{cite web}} a", False)])
+def test_blank_slots(text, hit):
+    assert any(map(template_residue.is_unfilled, template_residue.records(text))) is hit
+
+
+def test_messages_of_any_length():
+    known = "Sorry, we could not find the page you were looking for. Reference: abc\n\n"
+    assert template_residue.examine(known * 8, None)[0] is True
+    assert template_residue.examine(known * 8 + "The coordinator reads the page list before each restart.", None)[0] is False
