@@ -2,7 +2,8 @@
 
 Prefix-filtered set join between documents and items. Both are reduced to
 tokens (case, spacing, punctuation and markup aside; each Chinese or Japanese
-character is one). An item's shingles of ``SHINGLE`` tokens are ordered by how
+character is one). An item's shingles of at most ``SHINGLE`` tokens (fewer in short items, of which
+longer ones might be left in no passage) are ordered by how
 many documents hold them, rarest first. A passage of at least half the item's
 words with at most one altered word in ten leaves a known least number of the
 item's shingles intact, so every true document shares one of the item's rarest
@@ -80,17 +81,17 @@ def _runs(need: int, whole: int) -> list[int]:
     return [need, *range((need // ALTERED + 1) * ALTERED, whole + 1, ALTERED)]
 
 
-def least_intact(words: int) -> int:
+def least_intact(words: int, shingle: int = SHINGLE) -> int:
     """Shingles of the item that any passage, altered as much as may be, leaves intact.
 
-    An altered word of m tokens breaks at most SHINGLE - 1 + m shingles, and its
+    An altered word of m tokens breaks at most shingle - 1 + m shingles, and its
     tokens made m more, so words may be counted for tokens. A longer run may have
     fewer left than a shorter one, where it allows one more alteration.
     """
-    return max(1, min(run - SHINGLE + 1 - SHINGLE * (run // ALTERED) for run in _runs(-(-words // 2), words)))
+    return min(run - shingle + 1 - shingle * (run // ALTERED) for run in _runs(-(-words // 2), words))
 
 
-def least_intact_characters(sizes: list[int]) -> int:
+def least_intact_characters(sizes: list[int], shingle: int = SHINGLE) -> int:
     """The same for an item that counts in characters, whose tokens have ``sizes`` characters."""
     whole = sum(sizes)
     least = len(sizes)
@@ -103,8 +104,20 @@ def least_intact_characters(sizes: list[int]) -> int:
                 start += 1
             if inside >= need:
                 fewest = min(fewest, end - start + 1)
-        least = min(least, fewest - SHINGLE + 1 - SHINGLE * (need // ALTERED))
-    return max(1, least)
+        least = min(least, fewest - shingle + 1 - shingle * (need // ALTERED))
+    return least
+
+
+def shingle_of(item: str) -> tuple[int, int]:
+    """The longest shingle of which any passage of ``item`` leaves one intact at least, and how many it leaves."""
+    got = tokens(item)
+    sizes = [len(t) for t in got] if is_by_character(item) else None
+    words = units(item, False)[1][-1] + 1 if got else 0
+    for shingle in range(SHINGLE, 1, -1):
+        least = least_intact_characters(sizes, shingle) if sizes else least_intact(words, shingle)
+        if least > 0:
+            return shingle, least
+    return 1, 1
 
 
 def passage(item: list[str], item_word: list[int], text: list[str], text_word: list[int]) -> tuple[int, int, int, int] | None:
@@ -157,13 +170,14 @@ def passages(item: list[str], item_word: list[int], text: list[str], text_word:
 
 
 class Index:
-    """The shingles of a block of items, to be looked up in documents."""
+    """The shingles of a block of items, each of its item's length, to be looked up in documents."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, bool, list[str], list[int], int]] = []
         places = defaultdict(list)
         least: list[int] = []
+        lengths: set[int] = set()
         for item_id, text in items:
             got = tokens(text)
             if not got:
@@ -172,10 +186,13 @@ class Index:
             own, word = units(text, by_character)
             k = len(self.items)
             self.items.append((item_id, by_character, own, word, len(got)))
-            least.append(least_intact_characters([len(t) for t in got]) if by_character else least_intact(word[-1] + 1))
+            shingle, intact = shingle_of(text)
+            lengths.add(shingle)
+            least.append(intact)
             ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in got], np.uint64)
-            for pos, h in enumerate(self._hash(ids).tolist()):
+            for pos, h in enumerate(self._hash(ids, shingle).tolist()):
                 places[h].append((k, pos))
+        self.lengths = sorted(lengths)
         self.hashes = np.array(sorted(places), np.uint64)
         flat = [places[h] for h in self.hashes.tolist()]
         self.start = np.cumsum([0, *map(len, flat)])
@@ -185,13 +202,10 @@ class Index:
         self.least = np.array(least, np.int64)
 
     @staticmethod
-    def _hash(ids: np.ndarray) -> np.ndarray:
-        n = len(ids) - SHINGLE + 1
-        if n <= 0:
-            # Shorter than a shingle: the whole is one.
-            return (ids * _P[: len(ids)]).sum(keepdims=True, dtype=np.uint64) if len(ids) else ids
-        h = np.zeros(n, np.uint64)
-        for j in range(SHINGLE):
+    def _hash(ids: np.ndarray, shingle: int) -> np.ndarray:
+        n = max(0, len(ids) - shingle + 1)
+        h = np.full(n, shingle, np.uint64)
+        for j in range(shingle):
             h += ids[j : j + n] * _P[j]
         return h ^ (h >> np.uint64(31))
 
@@ -204,18 +218,22 @@ class Index:
             flat += [get(w, 0) for w in t]
             flat += [0] * SHINGLE
         ids = np.array(flat, np.uint64)
+        none = np.zeros(0, int)
         if not len(ids) or not len(self.hashes):
-            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), got
+            return none, none, none, got
         lengths = np.array([len(t) + SHINGLE for t in got])
-        h = self._hash(ids)
-        known = ids[: len(h)] > 0
-        for j in range(1, SHINGLE):
-            known &= ids[j : j + len(h)] > 0
-        at = np.nonzero(known)[0]
-        found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        ok = self.hashes[found] == h[at]
-        at, found = at[ok], found[ok]
         starts = np.cumsum(lengths) - lengths
+        every = []
+        for shingle in self.lengths:
+            h = self._hash(ids, shingle)
+            known = ids[: len(h)] > 0
+            for j in range(1, shingle):
+                known &= ids[j : j + len(h)] > 0
+            at = np.nonzero(known)[0]
+            found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            ok = self.hashes[found] == h[at]
+            every.append((at[ok], found[ok]))
+        at, found = (np.concatenate(x) for x in zip(*every, strict=True))
         doc = np.searchsorted(starts, at, side="right") - 1
         return doc, at - starts[doc], found, got
 

@@ -197,7 +197,7 @@ def test_least_intact_is_a_bound(spark):
     formula = lambda n, run: n - 3 - 4 * (run // 10)
     for n in range(8, 130):
         runs = range(-(-n // 2), n + 1)
-        assert contamination.least_intact(n) == max(1, min(formula(r, r) for r in runs)) == contamination.least_intact_characters([1] * n)
+        assert contamination.least_intact(n) == min(formula(r, r) for r in runs) == contamination.least_intact_characters([1] * n)
     # A passage of ten words of eighteen with the fifth altered leaves three shingles intact.
     item = WORDS[:18]
     text = ["before"] * 9 + item[:4] + ["altered"] + item[5:10] + ["behind"] * 9
@@ -205,6 +205,30 @@ def test_least_intact_is_a_bound(spark):
     assert [tuple(r) for r in contamination.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()] == [(1, 7)]
 
 
+def test_every_passage_of_items_of_all_sizes_is_a_candidate():
+    # Each run of at least half the item, unaltered and altered where that hurts most, by brute force.
+    words = [a + b for a in WORDS for b in ("", "x")]
+    for n in (*range(1, 24), 33, 38, 40, 57, 76, 80):
+        item = words[:n]
+        index = contamination.Index([(1, " ".join(item))])
+        shingle, least = contamination.shingle_of(" ".join(item))
+        for run in range(-(-n // 2), n + 1):
+            for start in {0, (n - run) // 2, n - run}:
+                for first in range(min(10, run)):
+                    part = list(item[start : start + run])
+                    for k, at in enumerate(range(first, run, 10)):
+                        if (k + 1) * 10 <= run:
+                            part[at] = "altered"
+                    seen = index.candidates(*index.hits([" ".join(["before", *part, "behind"])])[:3])
+                    assert (0, 0) in seen, (n, run, start, first, shingle, least)
+
+
+def test_short_items(spark):
+    asked = spark.createDataFrame([(1, "alpha"), (2, "bravo charlie"), (3, "delta echo foxtrot"), (4, "golf hotel india juliett kilo")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha y"), (2, "so bravo z"), (3, "in delta echo we"), (4, "golf hotel india"), (5, "golf hotel"), (6, "delta z")], "doc_id long, text string")
+    assert {tuple(r) for r in contamination.leaks(docs, asked).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_leaks_behind_a_similar_item(spark):
     rng = random.Random(9)
     chars = [chr(0x4E00 + i) for i in range(400)]

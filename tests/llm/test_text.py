@@ -124,7 +124,7 @@ def test_slots_are_induced_by_alignment(spark, monkeypatch):
     monkeypatch.setattr(template_residue, "slot_templates", lambda: {})
     monkeypatch.setattr(template_residue, "blank_records", frozenset)
     text = "The coordinator reads the page list before each restart and writes it back once a minute.\n\n"
-    forms = ("Dear __USER_{}__, welcome", "Send it to <YOUR_{}> now", "Open ~~{}~~ and close it", "see [{}] for more", "at 5 % of {} % of it", "Home > {} > End", "#{} one, two# here")
+    forms = ("Dear __USER_{}__, welcome", "Send it to <YOUR_{}> now", "Open ~~{}~~ and close it", "see [{}] for more", "at 5 % of {} % of it", "Home > {} > End")
     rows = []
     for k, form in enumerate(forms):
         for n in range(6):
