@@ -114,3 +114,18 @@ def test_repeated_lines_against_brute_force(spark):
 def test_a_fifth_of_the_pages_is_enough(spark):
     rows = [(i, f"https://a.example/{i}", "All rights reserved by nobody" if i < 7 else f"page number {'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10] * 12}") for i in range(35)]
     assert line_repeats.repeated_lines(spark.createDataFrame(rows, "page_id long, url string, markdown string")).count() == 7
+
+
+@pytest.mark.parametrize("array", [0, 3, 2048])
+def test_containers_of_either_kind_hold_the_same(spark, monkeypatch, array):
+    monkeypatch.setattr(line_repeats, "ARRAY", array)
+    ids = [5, 6, 32767, 32768, 32775, 65535, 65536, 70000, 1 << 40]
+    variants = ("Follow us for more news every day", "**Follow us** for more news - every day!", "FOLLOW US FOR MORE NEWS EVERY DAY.")
+    rows = [(i, "https://a.b/x", f"Own line number {'abcdefghijk'[k] * 9} here\n{variants[k % 3]}") for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, markdown string")
+    bitmaps = line_repeats.united(line_repeats.line_bitmaps(line_repeats.page_lines(pages)))
+    cards = sorted(r["card"] for r in bitmaps.groupBy("k1").agg(F.sum("card").alias("card")).collect())
+    assert cards == [1] * 9 + [9]
+    if array == 0:
+        assert bitmaps.filter("bits IS NULL").count() == 0 and {len(r["bits"]) for r in bitmaps.collect()} == {4096}
+    assert {tuple(r) for r in line_repeats.repeated_lines(pages).collect()} == {(i, 2) for i in ids}
