@@ -62,14 +62,20 @@ def newlines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
-def without_code(text: str, inline: str = " ") -> str:
-    """``text`` without fenced and indented blocks and with ``inline`` for each piece of inline code."""
-    text = newlines(text)
+def without_code(text: str, inline: str = " ", keep_lines: bool = False) -> str:
+    """``text`` without fenced and indented blocks and with ``inline`` for each piece of inline code.
+
+    With ``keep_lines`` every line that is left keeps its number, counted at LF.
+    """
+    text = text.replace("\r\n", "\n") if keep_lines else newlines(text)
+    gone = (lambda m: "\n" * m.group().count("\n")) if keep_lines else "\n"
     if "```" in text or "~~~" in text:
-        text = _FENCE.sub("\n", text)
+        text = _FENCE.sub(gone, text)
     if "    " in text or "\t" in text:
-        text = _INDENTED.sub("\n", text)
-    return _INLINE.sub(inline, text) if "`" in text else text
+        text = _INDENTED.sub(gone, text)
+    if "`" not in text:
+        return text
+    return _INLINE.sub((lambda m: inline + "\n" * m.group().count("\n")) if keep_lines else inline, text)
 
 
 class _Aside:

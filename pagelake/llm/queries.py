@@ -36,6 +36,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.corrected(pages).select("page_id", "language_code")
 
 
+def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's languages with their confidences."""
+    return language.document_languages(table(spark, sf_dir, "markdown_documents", "page_id", "url", "markdown"))
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every page that are in one language, with their confidences."""
+    return language.language_segments(table(spark, sf_dir, "markdown_documents", "page_id", "url", "markdown"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_residue.residue_pages(table(spark, sf_dir, "markdown_documents", "page_id", "url", "title", "markdown"))
 
@@ -62,7 +72,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_offsets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p8_found, p9_selected, p9_shares, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_documents, p4_segments, p5_found, p6_found, p8_found, p9_selected, p9_shares, p10_found)}
 
 # Where SQL can say it on whole tables; the others are held against brute force, round trips and held-out accuracy in tests.
 SQL: dict[str, str] = {

@@ -153,3 +153,19 @@ def test_messages_of_any_length():
     known = "Sorry, we could not find the page you were looking for. Reference: abc\n\n"
     assert template_residue.examine(known * 8, None)[0] is True
     assert template_residue.examine(known * 8 + "The coordinator reads the page list before each restart.", None)[0] is False
+
+
+def test_every_page_and_part_gets_a_language(spark):
+    english = "The coordinator reads the page list before each restart and writes it back once a minute, so that nothing is lost."
+    german = "Der Koordinator liest vor jedem Neustart die Seitenliste und schreibt sie einmal in der Minute zurück, damit nichts verloren geht."
+    mixed = f"# Notes\n\n{english}\n\n```\nx = 1\n```\n\n{german}\n{german}\n\n{english}\n"
+    short = "\n".join(f"| {w} |" for w in ("reading the list", "writing the pages", "before each restart", "and once a minute"))
+    pages = [(1, "https://a.b/1", mixed), (1, "https://a.b/1", mixed), (2, "https://a.b/2", None), (3, "https://a.b/3", "12 34 56"), (4, "https://a.b/4", short), (5, None, english + " 𐐷" * 30), (None, "https://a.b/6", english)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, markdown string").withColumn("confidence", F.lit("x"))
+    got = {(r["page_id"], r["language_code"], r["is_main"]) for r in language.document_languages(frame).collect()}
+    assert {x for x in got if x[0] == 1} in ({(1, "de", True), (1, "en", False)}, {(1, "en", True), (1, "de", False)})
+    assert {x for x in got if x[0] > 1} == {(2, "und", True), (3, "und", True), (4, "en", True), (5, "en", True)}
+    parts = sorted(tuple(r)[:4] for r in language.language_segments(frame).collect())
+    assert [x for x in parts if x[0] == 1] == [(1, 3, 3, "en"), (1, 9, 10, "de"), (1, 12, 12, "en")]
+    assert [x for x in parts if x[0] > 1] == [(4, 0, 0, "en"), (5, 1, 1, "en")]
+    assert language.document_languages(frame.limit(0)).count() == 0
