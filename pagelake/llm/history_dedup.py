@@ -36,8 +36,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,7 +62,6 @@ SMALL = 4 * LEAF
 _BLOCK = 1 << 15
 #: Thai letters, vowel and tone marks and digits: pages in Thai count in characters too.
 _THAI = "ก-ฺเ-๎๐-๙"
-_TOKEN = re.compile(rf"[{_CJK}{_THAI}]|[^\W_{_CJK}{_THAI}]+")
 _SEEDS = np.random.default_rng(20).integers(1, 2**32, (2, VALUES), dtype=np.uint32) | np.uint32(1)
 _SIGNED = "page_id long, copy binary, size int, tokens binary, histogram binary, signature binary"
 _LEAVES = "tree int, slot int, asking boolean, low long, high long, labels binary, ids binary, sizes binary, run int"
@@ -100,41 +99,80 @@ def prefix_length(similarity: float | np.ndarray, recall: float = RECALL, trees:
     return np.maximum(1, (reached * depths).max(-1))
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For each code point 1 if it belongs to words, 2 if it is a token of its own, else 0."""
+    table = np.fromiter((chr(c).isalnum() for c in range(0x110000)), np.uint8, 0x110000)
+    for first, last in re.findall("(.)-(.)", _CJK + _THAI):
+        table[ord(first) : ord(last) + 1] = 2
+    return table
+
+
+@lru_cache(maxsize=4)
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    powers = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(length, x, np.uint64)]))
+    return powers(base), powers(pow(base, -1, 1 << 64))
+
+
+def tokenized(articles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each token of ``articles``, the number of the article it is of, and the number of its line."""
+    texts = [bare(x) for x in articles]
+    joined = "\n".join(x + "\n" for x in texts)
+    code = np.frombuffer(joined.encode("utf-32-le" if sys.byteorder == "little" else "utf-32-be", "surrogatepass"), np.uint32)
+    kind = _kinds()[code]
+    word = kind == 1
+    inside = np.concatenate([[False], word[:-1]]) & word
+    first = np.nonzero((kind > 0) & ~inside)[0]
+    last = np.nonzero((kind == 2) | (word & ~np.concatenate([word[1:], [False]])))[0] + 1
+    # A token's hash is that of its characters as digits, the same wherever it stands.
+    up, down = _powers(1 << max(10, len(code).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)])])
+    h = (total[last] - total[first]) * down[first]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    line = np.cumsum(code == 10)
+    # Each article ends with a line of its own, and one more break parts it from the next.
+    ends = np.cumsum([0, *(x.count("\n") + 2 for x in texts)])
+    return (h >> np.uint64(32)).astype(np.uint32), np.searchsorted(ends, line[first], side="right") - 1, line[first]
+
+
 def sign(articles: list[str]) -> list[tuple[bytes, int, bytes, bytes, bytes] | None]:
     """For each article its copy key, size, sorted token hashes, token histogram and signature; None without tokens."""
-    known: dict[str, int] = {}
-    ids: list[int] = []
-    line_ends: list[int] = []
-    lengths = []
-    copies: list[bytes] = []
-    for text in articles:
-        start = len(ids)
-        lines = []
-        for line in bare(text).split("\n"):
-            got = _TOKEN.findall(line)
-            if got:
-                lines.append(" ".join(got))
-                for w in got:
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-                    ids.append(h)
-                line_ends.append(len(ids))
-        lengths.append(len(ids) - start)
-        copies.append(hashlib.blake2b("\n".join(sorted(lines)).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-    token = np.array(ids, np.uint32)
-    size = np.array(lengths)
+    out: list[tuple[bytes, int, bytes, bytes, bytes] | None] = []
+    at, size = 0, 0
+    for end, x in enumerate(articles, 1):  # bounds the arrays of characters
+        size += len(x)
+        if size > 1 << 20 or end == len(articles):
+            out += _signs(articles[at:end])
+            at, size = end, 0
+    return out
+
+
+def _signs(articles: list[str]) -> list[tuple[bytes, int, bytes, bytes, bytes] | None]:
+    token, owner, line = tokenized(articles)
+    size = np.bincount(owner, minlength=len(articles))
     starts = np.cumsum(size) - size
     out: list[tuple[bytes, int, bytes, bytes, bytes] | None] = [None] * len(articles)
     full = np.nonzero(size)[0]
     if not len(full):
         return out
     # Shingles run on from the end of a line to its start: one begins at each token.
+    begins = np.nonzero(np.concatenate([[True], line[1:] != line[:-1]]))[0]
+    ends = np.concatenate([begins[1:], [len(line)]])
     following = np.arange(1, len(token) + 1)
-    ends = np.array(line_ends)
-    following[ends - 1] = np.concatenate([[0], ends[:-1]])
+    following[ends - 1] = begins
     h = token * np.uint32(0x9E3779B1) + token[following] * np.uint32(0x85EBCA77)
     h ^= h >> np.uint32(15)
+    # A line's hash depends on the order of its tokens, an article's copy key not on that of its lines.
+    place = (np.arange(len(token)) - np.repeat(begins, ends - begins)).astype(np.uint64)
+    mixed = (token.astype(np.uint64) + np.uint64(1)) * (place * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x9E3779B97F4A7C15))
+    mixed ^= mixed >> np.uint64(31)
+    line_hash = np.add.reduceat(mixed * np.uint64(0x94D049BB133111EB), begins)
+    line_owner = owner[begins]
+    ordered = line_hash[np.lexsort((line_hash, line_owner))]
+    line_cuts = np.searchsorted(line_owner, np.arange(len(articles) + 1))
     signature = np.empty((len(full), VALUES), np.uint8)
     stops = (starts + size)[full]
     low = 0
@@ -144,10 +182,12 @@ def sign(articles: list[str]) -> list[tuple[bytes, int, bytes, bytes, bytes] | N
         signature[low:high] = _least(h[begin : stops[high - 1]], size[full[low:high]]).T
         low = high
     kind = (token * np.uint32(0x2C1B3C6D) >> np.uint32(26)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(size)), size) * CLASSES + kind, minlength=len(size) * CLASSES).reshape(-1, CLASSES)
+    counts = np.bincount(owner * CLASSES + kind, minlength=len(size) * CLASSES).reshape(-1, CLASSES)
     histogram = np.minimum(counts, 255).astype(np.uint8)
+    by_hash = token[np.argsort((owner.astype(np.uint64) << np.uint64(32)) | token, kind="stable")]
     for k, d in enumerate(full.tolist()):
-        out[d] = (copies[d], int(size[d]), np.sort(token[starts[d] : starts[d] + size[d]]).tobytes(), histogram[d].tobytes(), signature[k].tobytes())
+        copy = hashlib.blake2b(ordered[line_cuts[d] : line_cuts[d + 1]].tobytes(), digest_size=16).digest()
+        out[d] = (copy, int(size[d]), by_hash[starts[d] : starts[d] + size[d]].tobytes(), histogram[d].tobytes(), signature[k].tobytes())
     return out
 
 

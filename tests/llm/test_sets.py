@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -84,13 +85,26 @@ def test_recall_at_the_limit():
         assert found >= 0.95 * 150, (per_line, shared, found)
 
 
+def test_tokens_against_a_pattern():
+    pattern = re.compile(rf"[{history_dedup._CJK}{history_dedup._THAI}]|[^\W_{history_dedup._CJK}{history_dedup._THAI}]+")
+    texts = ["One two, one_two THREE\n\nfour-five 6.7\n", "", "日本語 and ไทย mixed é1 𐐀x", "\n\n", "a" * 5000, "last line\r\nend"]
+    hashes, owner, line = history_dedup.tokenized(texts)
+    want = [(k, n, w) for k, t in enumerate(texts) for n, x in enumerate(t.lower().split("\n")) for w in pattern.findall(x)]
+    assert owner.tolist() == [k for k, _, _ in want]
+    named = {}
+    assert all(named.setdefault(w, h) == h for (_, _, w), h in zip(want, hashes.tolist(), strict=True)) and len(set(named.values())) == len(named)
+    same = lambda keys: [a == b for a, b in zip(keys, keys[1:], strict=False)]
+    assert same(line.tolist()) == same([(k, n) for k, n, _ in want])
+    a, b, c = (history_dedup.sign([t])[0] for t in ("one two\nthree four", "Three, four!\n\none two", "two one\nthree four"))
+    assert a[0] == b[0] != c[0] and a[2] == b[2] == c[2] and a[4] == b[4]
+
+
 def test_thai_counts_in_characters():
     # Vowel and tone marks cut Thai words into chunks: few changed characters change many of them.
     words = ["ที่", "นี้", "ผู้ใช้", "เริ่ม", "เครื่อง", "ระบบ", "ข้อมูล", "ตั้งค่า", "แก้ไข", "บันทึก"]
     rng = random.Random(7)
     text = "".join(rng.choice(words) for _ in range(200))
-    thai = history_dedup._TOKEN.findall(text)
-    assert thai == list(text)
+    assert len(history_dedup.tokenized([text])[0]) == len(text)
     copy = list(text)
     copy = list(text)
     for i in range(0, len(copy), 25):
