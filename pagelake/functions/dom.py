@@ -9,6 +9,7 @@ strings and lists.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -46,15 +47,19 @@ class Element:
 
     def walk(self) -> Iterator[Element]:
         """All elements below, in document order."""
-        for c in self.children:
+        left = self.children[::-1]
+        while left:
+            c = left.pop()
             if isinstance(c, Element):
                 yield c
-                yield from c.walk()
+                left.extend(c.children[::-1])
 
     def strings(self) -> Iterator[str]:
-        for c in self.children:
+        left = self.children[::-1]
+        while left:
+            c = left.pop()
             if isinstance(c, Element):
-                yield from c.strings()
+                left.extend(c.children[::-1])
             elif c.strip():
                 yield c.strip()
 
@@ -225,18 +230,21 @@ def visible_text(root: Element) -> str:
     """Text of the elements that name the language, kind by kind; else all text."""
 
     def seen(e: Element) -> Iterator[str]:
-        for c in e.children:
-            if isinstance(c, str):
-                if c.strip():
-                    yield c.strip()
-            elif c.tag not in UNSEEN:
-                yield from seen(c)
+        left = e.children[::-1]
+        while left:
+            c = left.pop()
+            if not isinstance(c, str):
+                left.extend(c.children[::-1] if c.tag not in UNSEEN else ())
+            elif c.strip():
+                yield c.strip()
 
     def below(e: Element) -> Iterator[Element]:
-        for c in e.children:
+        left = e.children[::-1]
+        while left:
+            c = left.pop()
             if isinstance(c, Element) and c.tag not in UNSEEN:
                 yield c
-                yield from below(c)
+                left.extend(c.children[::-1])
 
     by_tag: dict[str, list[str]] = {t: [] for t in TEXT_TAGS}
     for e in below(root):
@@ -249,6 +257,8 @@ def visible_text(root: Element) -> str:
 def examine(html: str | None) -> dict[str, object]:
     """All that is read off one page's tree."""
     root = parse(html)
+    # What is left of recursion goes as deep as elements are nested, which is no deeper than there are tags.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * (html or "").count("<") + 1000))
     attr = lambda e, name: None if e is None else e.attrs.get(name)
     title = first(root, lambda e: e.tag == "title")
     meta = lambda key, value: first(root, lambda e: e.tag == "meta" and (e.attrs.get(key) or "").lower() == value)

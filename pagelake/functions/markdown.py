@@ -70,8 +70,9 @@ def output_path(url: Column, title: Column, root: str = "") -> Column:
     p = urls.parts(url)
     host = slug(F.coalesce(F.nullif(p["host"], F.lit("")), F.lit("unknown-host")))
     pieces = F.filter(F.split(F.regexp_replace(p["path"], r";[^/]*$", ""), "/"), lambda x: strip(x) != "")
-    ascii_slug = lambda x: _slug_ascii(x)
-    slugs = F.transform(pieces, ascii_slug)
+    # Marks are taken off all parts at once, as no Python may run inside a lambda; a blank part stays a part.
+    plain = F.when(p["path"].rlike(r"^[\x00-\x7f]*$"), pieces).otherwise(F.split(_ascii()(F.array_join(pieces, "\n")), "\n"))
+    slugs = F.transform(plain, _slug_ascii)
     last = F.when(F.size(slugs) > 0, F.substring(F.element_at(slugs, -1), 1, 80)).otherwise(F.substring(slug(title), 1, 100))
     folder = F.when(F.size(slugs) > 1, F.slice(slugs, 1, F.greatest(F.size(slugs) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
     name = F.concat(last, F.lit("-"), F.substring(F.sha2(url, 256), 1, 12), F.lit(".md"))
@@ -79,8 +80,8 @@ def output_path(url: Column, title: Column, root: str = "") -> Column:
 
 
 def _slug_ascii(x: Column) -> Column:
-    """Slug of a path part inside a lambda, where no Python may run: marks are dropped with the letters that carry them."""
-    s = F.regexp_replace(strip(F.lower(F.regexp_replace(x, r"[^\x00-\x7f]", ""))), r"[^a-z0-9._\-]+", "-")
+    """Slug of a path part that is ASCII by now."""
+    s = F.regexp_replace(strip(F.lower(x)), r"[^a-z0-9._\-]+", "-")
     s = F.regexp_replace(F.regexp_replace(s, r"-{2,}", "-"), r"^[\-._]+|[\-._]+$", "")
     return F.when(s == "", "page").otherwise(s)
 
@@ -96,3 +97,15 @@ def document(url: Column, title: Column, language: Column, content_hash: Column,
         F.lit("---\nurl: "), json_string(url), F.lit("\ntitle: "), json_string(title), F.lit("\nlanguage: "), json_string(language),
         F.lit("\ncontent_hash: "), content_hash, F.lit("\n---\n\n"), F.rtrim(body, F.lit(BLANKS)), F.lit("\n"),
     )
+
+
+def yaml_string(c: Column) -> Column:
+    """A double-quoted YAML scalar on one line."""
+    return F.concat(F.lit('"'), strip(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit(" "))), F.lit('"'))
+
+
+def dated_document(url: Column, title: Column, language: Column, content_hash: Column, body: Column, generated_at: Column) -> Column:
+    """A document with the older front matter, in YAML and with the time it was made."""
+    fields = {"title": title, "url": url, "language": language, "content_hash": content_hash, "generated_at": generated_at}
+    lines = [F.concat(F.lit(f"{name}: "), yaml_string(value)) for name, value in fields.items()]
+    return F.concat(F.array_join(F.array(F.lit("---"), *lines, F.lit("---"), F.lit("")), "\n"), body)

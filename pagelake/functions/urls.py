@@ -155,6 +155,17 @@ def normalize(url: Column, keep_slash: bool = False) -> Column:
     return let(parts(url), of)
 
 
+def start_url(url: Column) -> Column:
+    """Where a crawl starts: the normal form of a usable address, NULL for any other."""
+    return F.when(is_http_url(url), normalize(url))
+
+
+def site(url: Column) -> Column:
+    """Struct of domain (with its port, — if there is none) and scope_path of a start address."""
+    g = lambda i: F.nullif(F.regexp_extract(url, _SPLIT, i), F.lit(""))
+    return F.struct(F.coalesce(g(2), F.lit("—")).alias("domain"), F.coalesce(g(3), F.lit("/")).alias("scope_path"))
+
+
 def same_origin(a: Column, b: Column) -> Column:
     """True only where both are HTTP addresses of one origin."""
     return F.coalesce(origin(a) == origin(b), F.lit(False))

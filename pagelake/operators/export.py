@@ -15,7 +15,7 @@ from pagelake.functions import dom, languages, markdown
 
 
 def documents(pages: DataFrame, root: str = "") -> DataFrame:
-    """(url, title, language, markdown, output_path, content_hash, is_empty, links) of ``pages`` (url, html, content_language).
+    """(url, title, language, markdown, output_path, content_hash, is_empty, links, visible_text) of ``pages`` (url, html, content_language).
 
     The declared languages decide, else the address; without either language is
     NULL and its text is left to a classifier. Pages without content are marked.
@@ -29,7 +29,7 @@ def documents(pages: DataFrame, root: str = "") -> DataFrame:
     title = markdown.resolved_title(F.col("title"), F.col("markdown"), F.col("url"))
     return rows.select(
         "url", title.alias("title"), found["language_code"].alias("language"), "markdown", markdown.output_path(F.col("url"), title, root).alias("output_path"),
-        F.sha2("markdown", 256).alias("content_hash"), (F.col("markdown") == "").alias("is_empty"), "links",
+        F.sha2("markdown", 256).alias("content_hash"), (F.col("markdown") == "").alias("is_empty"), "links", "visible_text",
     )
 
 

@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.functions import urls
 from pagelake.session import cut
 
 
+def initial(seeds: DataFrame, listed: DataFrame) -> DataFrame:
+    """(site, url, ord): where a crawl of each site begins: its seed, then the addresses of its site maps, each once at its first place.
+
+    ``seeds`` has site and url, ``listed`` site, url and rank (from 1); addresses are compared as normalized.
+    """
+    at = lambda df, rank: df.select("site", urls.normalize(F.col("url")).alias("url"), rank.cast("long").alias("ord"))
+    rows = at(seeds, F.lit(0)).unionByName(at(listed, F.col("rank"))).filter("url IS NOT NULL")
+    return rows.groupBy("site", "url").agg(F.min("ord").alias("ord"))
+
+
+def add_discovered(found: DataFrame, known: DataFrame, start: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The addresses of ``found`` (url) that ``known`` (url) doesn't hold, normalized, their slash kept; and (added, duplicate_urls), one row.
+
+    An address out of the scope of ``start`` is neither; one that is known or comes again counts as a duplicate each time.
+    """
+    rows = found.select(urls.normalize(F.col("url"), keep_slash=True).alias("url")).filter("url IS NOT NULL")
+    if start is not None:
+        rows = rows.filter(urls.in_scope(F.col("url"), start))
+    counted = rows.groupBy("url").agg(F.count("*").alias("times"))
+    seen = known.select(urls.normalize(F.col("url"), keep_slash=True).alias("url")).distinct().withColumn("_known", F.lit(True))
+    marked = counted.join(seen, "url", "left")
+    new = F.col("_known").isNull()
+    figures = marked.agg(F.count_if(new).alias("added"), F.coalesce(F.sum(F.col("times") - F.when(new, 1).otherwise(0)), F.lit(0)).alias("duplicate_urls"))
+    return marked.filter(new).select("url"), figures
+
+
 def levels(seeds: DataFrame, edges: DataFrame, most_depth: int | None = None, most_urls: int | None = None) -> DataFrame:
     """(url, depth): addresses reachable from ``seeds`` (url) over ``edges`` (src_url, dst_url), at their least depth.
 
@@ -16,6 +43,8 @@ def levels(seeds: DataFrame, edges: DataFrame, most_depth: int | None = None, mo
     repeats one level. ``most_urls`` ends the walk after the level that reaches
     it, keeping the first addresses by depth and address. NULLs lead nowhere.
     """
+    # Every level reads the edges: they are computed once.
+    edges = cut(edges.select("src_url", "dst_url").filter("src_url IS NOT NULL AND dst_url IS NOT NULL").distinct())
     found = cut(seeds.select("url").filter("url IS NOT NULL").distinct().withColumn("depth", F.lit(0).cast("long")))
     front, depth, total = found, 0, None
     while most_depth is None or depth < most_depth:

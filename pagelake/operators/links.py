@@ -81,20 +81,33 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     return rules.join(agents, ["host_url", "group"]).select("host_url", "agent", "rule_no", "allow", "path").distinct()
 
 
+def _pattern(path: Column) -> Column:
+    """A rule's path with its wildcards as a regular expression."""
+    plain = F.regexp_replace(path, r"([\\.+?^{}()|\[\]]|\$(?!$))", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(plain, F.lit("*"), F.lit(".*")))
+
+
 def allowed(addresses: DataFrame, rules: DataFrame, agent: str, longest: bool = False) -> DataFrame:
     """(url, allowed): whether rules permit each normalized address.
 
-    The group of ``agent`` counts, else that of ``*``. The first matching rule
-    decides, or with ``longest`` the one with the longest path (allow on ties).
+    The rules count of the first agent in the file that is part of ``agent``'s name, else those of ``*``. The first rule whose path begins the
+    address's decides, or with ``longest`` the one with the longest path (allow on ties), whose ``*`` and final ``$`` are wildcards then.
     """
     root = F.concat(_root(F.col("url")), F.lit("/"))
     rows = addresses.select("url").distinct().withColumn("host_url", root)
     name = agent.split("/")[0].lower()
-    own = rules.withColumn("rank", F.when(F.col("agent") == name, 0).when(F.col("agent") == "*", 1)).filter("rank IS NOT NULL")
-    best = own.groupBy("host_url").agg(F.min("rank").alias("rank"))
-    own = own.join(best, ["host_url", "rank"])
+    own = rules.withColumn("rank", F.when(F.col("agent") == "*", 1).when((F.col("agent") != "") & F.lit(name).contains(F.col("agent")), 0)).filter("rank IS NOT NULL")
+    best = own.groupBy("host_url").agg(F.min_by("agent", F.struct("rank", "rule_no")).alias("agent"))
+    own = own.join(best, ["host_url", "agent"]).select("host_url", "rule_no", "allow", "path")
     rest = F.regexp_replace("url", r"^[a-z]+://[^/?#]+", "")
-    hits = rows.join(own, "host_url").filter(F.startswith(F.when(rest == "", "/").otherwise(rest), F.col("path")))
-    by = F.struct(-F.length("path"), F.when(F.col("allow"), 0).otherwise(1)) if longest else F.struct("rule_no")
-    decided = hits.groupBy("url").agg(F.min_by("allow", by).alias("allow"))
-    return rows.join(decided, "url", "left").select("url", F.coalesce("allow", F.lit(True)).alias("allowed"))
+    rest = F.when(rest == "", "/").otherwise(rest)
+    # A host's rules are one short row, so that a hot host's pages meet one row and not a group.
+    lists = own.groupBy("host_url").agg(F.array_sort(F.collect_list(F.struct("rule_no", "allow", "path", _pattern(F.col("path")).alias("pattern")))).alias("rules"))
+    both = rows.join(lists, "host_url", "left")
+    if longest:
+        hits = F.filter("rules", lambda r: (r["path"] != "") & F.rlike(rest, r["pattern"]))
+        ranked = F.array_sort(F.transform(hits, lambda r: F.struct((-F.length(r["path"])).alias("n"), F.when(r["allow"], 0).otherwise(1).alias("worse"), r["allow"].alias("allow"))))
+        first = F.get(ranked, 0)["allow"]
+    else:
+        first = F.get(F.filter("rules", lambda r: F.startswith(rest, r["path"])), 0)["allow"]
+    return both.select("url", F.coalesce(first, F.lit(True)).alias("allowed"))

@@ -7,10 +7,16 @@ one can't be canonical too: its decision is ``conflict`` and nothing is stored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions.text import digest_key, strip
+from pagelake.operators.incremental import Pointer
+from pagelake.session import cut
 
 
 def decisions(registrations: DataFrame, records: DataFrame | None = None) -> DataFrame:
@@ -37,7 +43,9 @@ def decisions(registrations: DataFrame, records: DataFrame | None = None) -> Dat
     if taken is not None:
         fresh = fresh.join(taken, "url", "left").withColumn("_rank", F.when(F.col("_taken"), 2).otherwise(F.col("_rank")))
     clash = fresh.filter("_rank > 1").select("content_hash", F.lit(True).alias("_clash"))
-    joined = rows.join(first, "content_hash", "left").join(clash, "content_hash", "left")
+    # Blank digests would all meet in one partition of a join: they are errors and need none.
+    joined = good.join(first, "content_hash", "left").join(clash, "content_hash", "left")
+    joined = joined.unionByName(rows.filter("content_hash IS NULL OR url IS NULL"), allowMissingColumns=True)
     is_first = F.col("held").isNull() & (F.col("seq") == F.col("first.seq"))
     decision = (
         F.when(F.col("content_hash").isNull() | F.col("url").isNull(), "error").when(F.col("_clash"), "conflict").when(is_first, "canonical").otherwise("duplicate")
@@ -75,3 +83,52 @@ def shared_canonicals(records: DataFrame) -> DataFrame:
     """(canonical_url, digests): addresses canonical for several digests."""
     rows = records.select("canonical_url", digest_key(F.col("content_hash")).alias("h")).distinct()
     return rows.groupBy("canonical_url").agg(F.count("h").alias("digests")).filter("digests > 1")
+
+
+class Registry:
+    """What has been registered, kept under one folder from session to session; opened again by its name, made if it isn't there.
+
+    Records are only ever added (the first address of a digest stays), duplicates are put over older ones of the same
+    address. A registration writes its own rows and swaps one pointer, so it costs what the batch costs.
+    """
+
+    RECORDS = "content_hash string, canonical_url string, canonical_path string, title string"
+    DUPLICATES = "url string, content_hash string, canonical_url string, canonical_path string"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.pointer = spark, path.rstrip("/"), Pointer(spark, path)
+
+    def _parts(self) -> list[str]:
+        return json.loads(self.pointer.read() or "[]")
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        parts = self._parts()
+        frames = [self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{table}").withColumn("_part", F.lit(n)) for n, name in enumerate(parts)]
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], f"{schema}, _part int")
+
+    def records(self) -> DataFrame:
+        """(content_hash, canonical_url, canonical_path, title)."""
+        return self._read("records", self.RECORDS).drop("_part")
+
+    def duplicates(self) -> DataFrame:
+        """(url, content_hash, canonical_url, canonical_path): the last duplicate of each address."""
+        rows = self._read("duplicates", self.DUPLICATES)
+        last = rows.groupBy("url").agg(F.max(F.struct("_part", "content_hash", "canonical_url", "canonical_path")).alias("x"))
+        return last.select("url", "x.content_hash", "x.canonical_url", "x.canonical_path")
+
+    def register(self, registrations: DataFrame) -> DataFrame:
+        """Decides ``registrations`` (seq, content_hash, url, output_path, and title if there) against what is stored, stores the outcome and gives the decisions."""
+        base, parts = self.pointer.version(), self._parts()
+        rows = registrations if "title" in registrations.columns else registrations.withColumn("title", F.lit(None).cast("string"))
+        decided = cut(decisions(rows, self.records()))
+        name = f"part-{base + 1}-{uuid.uuid4().hex}"
+        titles = rows.select("seq", "title").groupBy("seq").agg(F.max("title").alias("title"))
+        new = decided.filter("decision = 'canonical'").join(titles, "seq").select("content_hash", "canonical_url", "canonical_path", "title")
+        new.write.parquet(f"{self.path}/{name}/records")
+        stored_duplicates(decided).write.parquet(f"{self.path}/{name}/duplicates")
+        self.pointer.swap(json.dumps([*parts, name]), base)
+        return decided
+
+    def counts(self) -> tuple[int, int]:
+        """Digests held and addresses known as duplicates."""
+        return self.records().count(), self.duplicates().count()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.functions import languages, markdown, urls
+from pagelake.functions import languages, markdown, text_language, urls
 from pagelake.functions.text import blank_to_null, digest_key
 from pagelake.operators import export, freshness, frontier, incremental, links, pacing, registry, report, sitemaps
 from pagelake.plans import sql as q
@@ -141,6 +141,28 @@ def pages_by_host(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("u IS NOT NULL").groupBy("host").agg(F.count_distinct("u").alias("pages"))
 
 
+@query(f"SELECT DISTINCT 'https://' || host || '/robots.txt' AS robots FROM {q.parsed('markdown_documents', 'url')} WHERE reason IS NULL")
+def robots_urls(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "markdown_documents", "url").filter(urls.is_http_url(F.col("url")))
+    return rows.select(urls.robots_url(F.col("url")).alias("robots")).distinct()
+
+
+@query(
+    f"""SELECT DISTINCT a.url, a.canonical_url, coalesce(a.reason IS NULL AND b.reason IS NULL AND a.scheme = b.scheme AND a.host = b.host AND a.origin_port = b.origin_port, false) AS same
+    FROM {q.parsed('duplicate_urls', 'url')} a JOIN {q.parsed('duplicate_urls', 'canonical_url')} b ON a.url IS NOT DISTINCT FROM b.url AND a.canonical_url IS NOT DISTINCT FROM b.canonical_url"""
+)
+def redirect_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an address may redirect to its canonical one: only within its origin."""
+    rows = table(spark, d, "duplicate_urls", "url", "canonical_url").distinct()
+    return rows.select("url", "canonical_url", urls.same_origin(F.col("url"), F.col("canonical_url")).alias("same"))
+
+
+@query(rf"SELECT DISTINCT norm AS start_url, regexp_extract(norm, '^[a-z]+://([^/?#]*)', 1) AS domain, coalesce(nullif(regexp_extract(norm, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS scope_path FROM {q.parsed('registrations', 'url')} WHERE norm IS NOT NULL")
+def site_info(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "registrations", "url").select(urls.start_url(F.col("url")).alias("start_url")).filter("start_url IS NOT NULL").distinct()
+    return rows.select("start_url", urls.site(F.col("start_url"))["domain"].alias("domain"), urls.site(F.col("start_url"))["scope_path"].alias("scope_path"))
+
+
 # ------------------------------------------------------------------ Markdown
 
 
@@ -169,40 +191,53 @@ def page_title_resolved(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", markdown.heading(m).alias("heading"), markdown.resolved_title(t, m, u).alias("resolved_title")).distinct()
 
 
-@query(f"SELECT DISTINCT title, {q.slug('title')} AS slug FROM markdown_documents WHERE regexp_full_match(title, '[\\x00-\\x7f]*')")
+@query(f"SELECT DISTINCT title, {q.slug(q.plain('title'))} AS slug FROM markdown_documents")
 def slugify_title(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "markdown_documents", "title").filter(F.col("title").rlike(r"^[\x00-\x7f]*$")).distinct()
+    rows = table(spark, d, "markdown_documents", "title").distinct()
     return rows.select("title", markdown.slug(F.col("title")).alias("slug"))
 
 
-@query()
-def slugify_all_titles(spark: SparkSession, d: str) -> DataFrame:
-    """All titles, also those with letters beyond ASCII; held against brute force in the tests, without SQL."""
-    rows = table(spark, d, "markdown_documents", "title").distinct()
-    return rows.select("title", markdown.slug(F.col("title")).alias("slug"))
+_SEGMENTS = f"list_transform(list_filter(string_split(regexp_replace(path, ';[^/]*$', ''), '/'), lambda y: {q.strip('y')} <> ''), lambda y: {q.slug(q.plain('y'))})"
 
 
-_SEGMENTS = f"list_transform(list_filter(string_split(regexp_replace(path, ';[^/]*$', ''), '/'), lambda y: {q.strip('y')} <> ''), lambda y: {q.slug('y')})"
+#: Addresses with and without a path, with marks in them.
+_PATHS = "(SELECT page_id, title, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^([A-Za-z]+://[^/?#]+).*$', '\\1/') WHEN 1 THEN regexp_replace(url, '/([^/]*)$', '/Größe-né/\\1') ELSE url END AS url FROM markdown_documents)"
 
 
 @query(
     f"""SELECT DISTINCT page_id, array_to_string(list_concat(list_concat([{q.slug('host')}], s[1:greatest(len(s) - 1, 0)]),
-     [CASE WHEN len(s) > 0 THEN substr(s[len(s)], 1, 80) ELSE 'page' END || '-' || substr(sha256(url), 1, 12) || '.md']), '/') AS output_path
-    FROM (SELECT *, {_SEGMENTS} AS s FROM {q.parsed('markdown_documents', 'url')}) WHERE len(s) > 0"""
+     [CASE WHEN len(s) > 0 THEN substr(s[len(s)], 1, 80) ELSE substr({q.slug(q.plain('title'))}, 1, 100) END || '-' || substr(sha256(url), 1, 12) || '.md']), '/') AS output_path
+    FROM (SELECT *, {_SEGMENTS} AS s FROM {q.parsed(_PATHS, 'url')})"""
 )
 def output_path(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "markdown_documents", "page_id", "url", "title").filter(urls.parts(F.col("url"))["path"].rlike("[^/]"))
+    u = F.col("url")
+    root, marked = F.regexp_replace(u, r"^([A-Za-z]+://[^/?#]+).*$", "$1/"), F.regexp_replace(u, r"/([^/]*)$", "/Größe-né/$1")
+    rows = table(spark, d, "markdown_documents", "page_id", "url", "title").withColumn("url", F.when(F.col("page_id") % 4 == 0, root).when(F.col("page_id") % 4 == 1, marked).otherwise(u))
     return rows.select("page_id", markdown.output_path(F.col("url"), F.col("title")).alias("output_path")).distinct()
 
 
+_TITLE = f"coalesce({q.blank_to_null('title')}, nullif({_HEADING}, ''), url)"
+
+
 @query(
-    f"""SELECT DISTINCT page_id, sha256('---' || chr(10) || 'url: ' || CAST(to_json(url) AS VARCHAR) || chr(10) || 'title: ' || CAST(to_json(title) AS VARCHAR) || chr(10)
+    f"""SELECT DISTINCT page_id, sha256('---' || chr(10) || 'url: ' || CAST(to_json(url) AS VARCHAR) || chr(10) || 'title: ' || CAST(to_json({_TITLE}) AS VARCHAR) || chr(10)
      || 'language: ' || CAST(to_json(coalesce(language, '')) AS VARCHAR) || chr(10) || 'content_hash: ' || content_hash || chr(10) || '---' || chr(10) || chr(10)
-     || regexp_replace({q.md_normal('markdown')}, '{q.BLANK}+$', '') || chr(10)) AS document_hash FROM markdown_documents WHERE title IS NOT NULL"""
+     || regexp_replace({q.md_normal('markdown')}, '{q.BLANK}+$', '') || chr(10)) AS document_hash FROM markdown_documents"""
 )
 def front_matter(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "markdown_documents", "page_id", "url", "title", "language", "content_hash", "markdown").filter("title IS NOT NULL")
-    doc = markdown.document(F.col("url"), F.col("title"), F.coalesce("language", F.lit("")), F.col("content_hash"), markdown.normalize(F.col("markdown")))
+    rows = table(spark, d, "markdown_documents", "page_id", "url", "title", "language", "content_hash", "markdown")
+    title = markdown.resolved_title(F.col("title"), F.col("markdown"), F.col("url"))
+    doc = markdown.document(F.col("url"), title, F.coalesce("language", F.lit("")), F.col("content_hash"), markdown.normalize(F.col("markdown")))
+    return rows.select("page_id", F.sha2(doc, 256).alias("document_hash")).distinct()
+
+
+@query(
+    f"""SELECT DISTINCT page_id, sha256('---' || chr(10) || 'title: "' || {q.strip("replace(replace(replace(title, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), ' ')")} || '"' || chr(10) || 'url: "' || url || '"' || chr(10) || 'language: "'
+     || {q.strip("coalesce(language, '')")} || '"' || chr(10) || 'content_hash: "' || content_hash || '"' || chr(10) || 'generated_at: "2025-05-20T00:00:00+00:00"' || chr(10) || '---' || chr(10) || markdown) AS document_hash FROM markdown_documents"""
+)
+def front_matter_dated(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "markdown_documents", "page_id", "url", "title", "language", "content_hash", "markdown")
+    doc = markdown.dated_document(F.col("url"), F.col("title"), F.coalesce("language", F.lit("")), F.col("content_hash"), F.col("markdown"), F.lit(NOW))
     return rows.select("page_id", F.sha2(doc, 256).alias("document_hash")).distinct()
 
 
@@ -249,7 +284,10 @@ def link_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROBOTS = "(SELECT DISTINCT 'https://' || host || '/' AS host_url FROM {})".format(q.parsed("markdown_documents", "url") + " WHERE reason IS NULL")
-_BODY = "# rules\nUser-agent: *\nAllow: /docs/guide\nDisallow: /docs\nDisallow: /kb # closed\nSitemap: /sitemap.xml\nsitemap: /sitemap.xml\nSitemap: news.xml\n\nUser-agent: otherbot\nDisallow: /\n"
+_BODY = (
+    "# rules\nUser-agent: *\nDisallow: /learn\nAllow: /learn/basics\nAllow: /docs/guide\nDisallow: /docs\nDisallow: /kb # closed\nSitemap: /sitemap.xml\nsitemap: /sitemap.xml\n"
+    "Sitemap: news.xml\n\nUser-agent: otherbot\nDisallow: /\n"
+)
 
 
 def _robots(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +296,7 @@ def _robots(spark: SparkSession, d: str) -> DataFrame:
     return hosts.select(F.concat(F.lit("https://"), "h", F.lit("/")).alias("host_url"), F.lit(_BODY).alias("body"))
 
 
-@query(f"SELECT host_url, CAST(n AS BIGINT) AS pos, host_url || f AS sitemap_url FROM {_ROBOTS}, (VALUES (5, 'sitemap.xml'), (7, 'news.xml')) v(n, f)")
+@query(f"SELECT host_url, CAST(n AS BIGINT) AS pos, host_url || f AS sitemap_url FROM {_ROBOTS}, (VALUES (7, 'sitemap.xml'), (9, 'news.xml')) v(n, f)")
 def robots_sitemaps(spark: SparkSession, d: str) -> DataFrame:
     return links.robots_sitemaps(_robots(spark, d))
 
@@ -266,13 +304,13 @@ def robots_sitemaps(spark: SparkSession, d: str) -> DataFrame:
 _REST = "regexp_replace(norm, '^[a-z]+://[^/?#]+', '')"
 
 
-@query(f"SELECT DISTINCT norm AS url, starts_with({_REST}, '/docs/guide') OR NOT (starts_with({_REST}, '/docs') OR starts_with({_REST}, '/kb')) AS allowed FROM {q.parsed('markdown_documents', 'url')} WHERE norm IS NOT NULL")
+@query(f"SELECT DISTINCT norm AS url, starts_with({_REST}, '/docs/guide') OR NOT (starts_with({_REST}, '/learn') OR starts_with({_REST}, '/docs') OR starts_with({_REST}, '/kb')) AS allowed FROM {q.parsed('markdown_documents', 'url')} WHERE norm IS NOT NULL")
 def robots_first_match(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "markdown_documents", "url").select(urls.normalize(F.col("url")).alias("url")).filter("url IS NOT NULL")
     return links.allowed(pages, links.robots_rules(_robots(spark, d)), "reader/1.0")
 
 
-@query(SQL["robots_first_match"])
+@query(f"SELECT DISTINCT norm AS url, starts_with({_REST}, '/learn/basics') OR starts_with({_REST}, '/docs/guide') OR NOT (starts_with({_REST}, '/learn') OR starts_with({_REST}, '/docs') OR starts_with({_REST}, '/kb')) AS allowed FROM {q.parsed('markdown_documents', 'url')} WHERE norm IS NOT NULL")
 def robots_longest_match(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "markdown_documents", "url").select(urls.normalize(F.col("url")).alias("url")).filter("url IS NOT NULL")
     return links.allowed(pages, links.robots_rules(_robots(spark, d)), "reader/1.0", longest=True)
@@ -280,13 +318,33 @@ def robots_longest_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src_url, dst_url FROM {_EDGES}), seeds AS (SELECT min(src_url) AS url FROM e GROUP BY regexp_extract(src_url, '^[a-z]+://[^/?#]+')),
-    walk(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT dst_url, depth + 1 FROM walk JOIN e ON src_url = url WHERE depth < 3)
+    walk(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT dst_url, depth + 1 FROM walk JOIN e ON src_url = url WHERE depth < 60)
     SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url"""
 )
 def frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
+    """To the end; the SQL's bound is far beyond the depth of any of these graphs."""
     edges = _edges(spark, d).select("src_url", "dst_url")
     seeds = edges.groupBy(F.regexp_extract("src_url", r"^[a-z]+://[^/?#]+", 0)).agg(F.min("src_url").alias("url")).select("url")
-    return frontier.levels(seeds, edges, most_depth=3)
+    return frontier.levels(seeds, edges)
+
+
+@query(
+    f"""SELECT site, url, CAST(min(ord) AS BIGINT) AS ord FROM (SELECT host AS site, min(norm) AS url, 0 AS ord FROM {q.parsed('markdown_documents', 'url')} WHERE norm IS NOT NULL GROUP BY host
+      UNION ALL SELECT host, norm, page_id FROM {q.parsed('markdown_documents', 'url')} WHERE norm IS NOT NULL) GROUP BY site, url"""
+)
+def frontier_initial(spark: SparkSession, d: str) -> DataFrame:
+    """Each host's first address, then its pages as a site map would list them."""
+    listed = table(spark, d, "markdown_documents", "url", F.col("page_id").alias("rank")).withColumn("site", urls.host(F.col("url"))).filter("site IS NOT NULL")
+    seeds = listed.groupBy("site").agg(F.min(urls.normalize(F.col("url"))).alias("url"))
+    return frontier.initial(seeds, listed)
+
+
+@query(
+    f"""WITH f AS (SELECT norm_slash AS u, count(*) AS n FROM {q.parsed('url_state', 'url')} WHERE norm_slash IS NOT NULL GROUP BY 1), k AS (SELECT DISTINCT norm_slash AS u FROM {q.parsed('content_records', 'canonical_url')} WHERE norm_slash IS NOT NULL)
+    SELECT CAST(count_if(k.u IS NULL) AS BIGINT) AS added, CAST(sum(CASE WHEN k.u IS NULL THEN n - 1 ELSE n END) AS BIGINT) AS duplicate_urls FROM f LEFT JOIN k ON f.u = k.u"""
+)
+def frontier_discovered(spark: SparkSession, d: str) -> DataFrame:
+    return frontier.add_discovered(table(spark, d, "url_state", "url"), table(spark, d, "content_records", F.col("canonical_url").alias("url")))[1]
 
 
 # ------------------------------------------------------------------ languages
@@ -324,6 +382,36 @@ def lang_decision(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", x["language_code"].alias("language_code"), x["source"].alias("source"))
 
 
+_DECLARED = f"CASE WHEN page_id % 6 < 4 THEN {q.code('language')} END"
+_MD_GATE = f"length({q.strip(f"regexp_replace(markdown, '{q.BLANK}+', ' ', 'g')")})"
+
+
+@query(
+    f"""SELECT DISTINCT page_id, CASE WHEN dc IS NOT NULL THEN dc ELSE c END AS language_code, CASE WHEN dc IS NOT NULL THEN ['content-language-header', 'html-lang', 'meta-content-language', 'og-locale'][page_id % 6 + 1]
+      WHEN c IS NOT NULL THEN CASE WHEN replace(split_part(host, '.', 1), '_', '-') = c THEN 'url-subdomain' ELSE 'url-path' END WHEN {_MD_GATE} < {languages.LEAST_TEXT} THEN 'insufficient-text' ELSE 'text-analysis' END AS source
+    FROM (SELECT *, {_DECLARED} AS dc, {q.languages_in_url()} AS c FROM {q.parsed('markdown_documents', 'url')})"""
+)
+def lang_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """All six stages: labels stand in four places in turn, a third of the pages has none; what the text says is left out, as SQL can't say it."""
+    rows = table(spark, d, "markdown_documents", "page_id", "url", "language", "markdown").distinct()
+    place = lambda k: F.when(F.col("page_id") % 6 == k, F.col("language"))
+    x = text_language.decide(place(0), place(1), place(2), place(3), F.col("url"), F.col("markdown"))
+    rows = rows.select("page_id", x.alias("x"))
+    return rows.select("page_id", F.when(F.col("x.source") != "text-analysis", F.col("x.language_code")).alias("language_code"), "x.source").distinct()
+
+
+@query()
+def lang_text(spark: SparkSession, d: str) -> DataFrame:
+    """What the text itself says of every document; held against held-out labels in the tests."""
+    x = text_language.from_text(F.col("text"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", x.alias("x")).select("doc_id", "x.is_english", "x.language_code", "x.source", F.round("x.confidence", 3).alias("confidence"))
+
+
+@query(f"SELECT url, len(list_filter(list_concat([split_part(host, '.', 1)], list_filter(string_split(lower(path), '/'), lambda y: {q.strip('y')} <> '')[1:2]), lambda y: replace(y, '_', '-') IN ({q.strings(languages.NON_ENGLISH)}))) > 0 AS non_english FROM {q.parsed('(SELECT DISTINCT url FROM markdown_documents)', 'url')}")
+def lang_explicit(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "markdown_documents", "url").distinct().select("url", languages.explicitly_non_english(F.col("url")).alias("non_english"))
+
+
 @query(
     """SELECT source, language_code, count(*) AS decisions, CAST(count_if(is_english) AS BIGINT) AS english FROM language_decisions
     GROUP BY ROLLUP (source, language_code)"""
@@ -380,9 +468,25 @@ def dedupe_orphans(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("url", "content_hash")
 
 
-@query(f"SELECT canonical_url, count(DISTINCT {q.digest_key('content_hash')}) AS digests FROM content_records GROUP BY canonical_url HAVING count(DISTINCT {q.digest_key('content_hash')}) > 1")
+@query(f"SELECT url AS canonical_url, count(DISTINCT {q.digest_key('content_hash')}) AS digests FROM (SELECT canonical_url AS url, content_hash FROM content_records UNION ALL SELECT url, content_hash FROM registrations UNION ALL SELECT url, content_hash FROM url_state) GROUP BY url HAVING count(DISTINCT {q.digest_key('content_hash')}) > 1")
 def dedupe_shared_canonicals(spark: SparkSession, d: str) -> DataFrame:
-    return registry.shared_canonicals(table(spark, d, "content_records", "canonical_url", "content_hash"))
+    """Over all addresses that any table gives a digest."""
+    named = lambda t: table(spark, d, t, F.col("url").alias("canonical_url"), "content_hash")
+    rows = table(spark, d, "content_records", "canonical_url", "content_hash").unionByName(named("registrations")).unionByName(named("url_state"))
+    return registry.shared_canonicals(rows)
+
+
+_ALONE = _DECIDED.replace("FROM content_records)", "FROM content_records WHERE false)")
+
+
+@query(f"SELECT url, arg_max(content_hash, seq) AS content_hash, arg_max(canonical_url, seq) AS canonical_url, arg_max(canonical_path, seq) AS canonical_path FROM {_ALONE} WHERE decision = 'duplicate' GROUP BY url")
+def registry_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Duplicates held after the batches were registered one after another in a stored registry, opened anew for each."""
+    path = f"{shared_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    rows = table(spark, d, "registrations", "seq", "batch_no", "content_hash", "url", "output_path").distinct()
+    for n in sorted(r[0] for r in rows.select("batch_no").distinct().collect()):  # one row a batch
+        registry.Registry(spark, path).register(rows.filter(F.col("batch_no") == n))
+    return registry.Registry(spark, path).duplicates()
 
 
 @query("SELECT sha256(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
@@ -506,6 +610,49 @@ def finished_summary(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d).select("user_id", text.alias("summary"), report.duration(c("elapsed")).alias("duration"), report.status(F.lit(False), c("failed")).alias("status"))
 
 
+@query(
+    f"""SELECT url, o AS outcome, CASE WHEN o IN ('saved', 'unchanged') THEN sha256(coalesce(own, later)) END AS content_hash, o IN ('saved', 'unchanged') AND own IS NULL AS used_fallback FROM (
+    SELECT *, CASE WHEN page_id % 11 = 0 THEN 'non_english' WHEN own IS NULL AND later IS NULL AND links > 0 THEN 'discovery_only' WHEN own IS NULL AND later IS NULL THEN 'failed' WHEN page_id % 5 = 0 THEN 'unchanged' ELSE 'saved' END AS o
+    FROM (SELECT page_id, url, CASE WHEN page_id % 7 > 0 THEN nullif({q.md_normal('markdown')}, '') END AS own, CASE WHEN page_id % 14 = 0 THEN nullif({q.md_normal('markdown')}, '') END AS later,
+      len(regexp_extract_all(markdown, '\\]\\(([^)\\s]+)', 1)) AS links FROM (SELECT min(page_id) AS page_id, url, arg_min(markdown, page_id) AS markdown FROM markdown_documents GROUP BY url)))"""
+)
+def page_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """A seventh of the pages comes without content, half of these are in the snapshot of rendered pages."""
+    rows = table(spark, d, "markdown_documents", "page_id", "url", "markdown").groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("markdown", "page_id").alias("markdown"))
+    body, p = markdown.normalize(F.col("markdown")), F.col("page_id")
+    pages = rows.select("url", F.when(p % 7 > 0, body).alias("content"), F.size(links.markdown_targets(F.col("markdown"))).alias("links"), (p % 5 == 0).alias("unchanged"), (p % 11 > 0).alias("is_english"))
+    found = report.page_outcomes(pages, rows.filter(p % 14 == 0).select("url", body.alias("content")))
+    return found.select("url", "outcome", F.sha2("content", 256).alias("content_hash"), "used_fallback")
+
+
+_RUN = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    f"""SELECT event_id, CAST(sum(CASE WHEN o NOT IN ('incremental_skipped', 'failed') THEN 1 ELSE 0 END) {_RUN} AS BIGINT) AS processed, {", ".join(f"CAST(sum(CASE WHEN o = '{o}' THEN 1 ELSE 0 END) {_RUN} AS BIGINT) AS {o}" for o in report.OUTCOMES)}
+    FROM (SELECT *, {_OUTCOME} AS o FROM events)"""
+)
+def event_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The counters after every event; blocks are small here so that some are carried."""
+    rows = table(spark, d, "events", "event_id", "user_id", "event_type", "ts").withColumn("outcome", F.expr(_OUTCOME))
+    return report.running(rows, ["user_id"], ["ts", "event_id"]).select("event_id", "processed", *report.OUTCOMES)
+
+
+@query(
+    f"""SELECT count(*) AS discovered_urls, CAST(count_if(o IS NOT NULL) AS BIGINT) AS processed_urls, CAST(count_if(o = 'reachable') AS BIGINT) AS reachable_pages, CAST(count_if(o = 'not_found') AS BIGINT) AS not_found_pages,
+      CAST(count_if(o = 'failed') AS BIGINT) AS failed_pages, CAST(count_if(r) AS BIGINT) AS redirects, CAST(count_if(o = 'reachable' AND e) AS BIGINT) AS english_urls, CAST(count_if(o = 'reachable' AND NOT coalesce(e, false)) AS BIGINT) AS non_english_urls,
+      count(*) - CAST(count_if(o IS NOT NULL) AS BIGINT) AS remaining_urls, false AS discovery_complete
+    FROM (SELECT url, CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 13 = 0 THEN 'not_found' WHEN page_id % 17 = 0 THEN 'failed' ELSE 'reachable' END AS o, page_id % 9 > 0 AND page_id % 3 = 0 AS r, CASE WHEN page_id % 9 > 0 THEN language = 'en' END AS e
+      FROM (SELECT url, min(page_id) AS page_id, min(language) AS language FROM markdown_documents GROUP BY url))"""
+)
+def inventory_counters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "markdown_documents", "page_id", "url", "language").groupBy("url").agg(F.min("page_id").alias("page_id"), F.min("language").alias("language"))
+    p = F.col("page_id")
+    outcome = F.when(p % 13 == 0, "not_found").when(p % 17 == 0, "failed").otherwise("reachable")
+    facts = rows.filter(p % 9 > 0).select("url", outcome.alias("outcome"), (p % 3 == 0).alias("is_redirect"), (F.col("language") == "en").alias("is_english"))
+    return frontier.counters(rows.select("url"), facts, 10**9).drop("robots_blocked", "timeouts")
+
+
 # ------------------------------------------------------------------ pacing: events stand for requests, users for hosts
 
 _MICROS = "CAST(epoch_us(ts) AS BIGINT)"
@@ -541,6 +688,23 @@ def backoff_throttled(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "consecutive", F.col("delay").cast("long").alias("delay"))
 
 
+@query(
+    """SELECT event_id, CAST(n AS BIGINT) AS consecutive, CAST(greatest(CASE WHEN th THEN coalesce(ra, least(60.0, 2.0 * pow(2.0, n - 1))) ELSE 0 END,
+      coalesce(first_value(cd IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0)) AS BIGINT) AS delay FROM (
+    SELECT *, sum(CASE WHEN th THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM (
+    SELECT *, sum(CASE WHEN th THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, event_type IN ('error', 'purchase', 'click') AND user_id % 5 > 0 AS th, CASE WHEN event_id % 3 = 0 THEN 15 END AS ra, CASE WHEN event_id % 8 = 0 THEN 3 + event_id % 5 END AS cd FROM events)))"""
+)
+def backoff_retry_after(spark: SparkSession, d: str) -> DataFrame:
+    """Every third answer says itself when to ask again; the first crawl delay of a site holds; a fifth of the sites isn't configured."""
+    e = F.col("event_id")
+    rows = pacing.backoff(
+        _requests(spark, d), "user_id", ["arrival", "event_id"], F.col("event_type").isin("error", "purchase", "click"), retry_after=F.when(e % 3 == 0, 15.0),
+        configured=F.col("user_id") % 5 > 0, crawl_delay=F.when(e % 8 == 0, 3 + e % 5), blocks_=16,
+    )
+    return rows.select("event_id", "consecutive", F.col("delay").cast("long").alias("delay"))
+
+
 @query(
     """SELECT user_id, day, CAST(coalesce(min(CASE WHEN event_type <> 'error' THEN n END), max(n)) AS BIGINT) AS attempts, min(CASE WHEN event_type <> 'error' THEN n END) IS NULL AS failed
     FROM (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events) WHERE n <= 3 GROUP BY user_id, day"""
@@ -611,6 +775,61 @@ def sitemap_read(spark: SparkSession, d: str) -> DataFrame:
     return sitemaps.read(files).select(F.explode("locs").alias("loc"))
 
 
+_H = "regexp_replace(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')"
+
+
+@query(
+    f"""SELECT url, sha256('# ' || h || chr(10) || chr(10) || 'About ' || h || ' and **more** of it, long enough to be the content of a page that is to be read as such.' || chr(10) || chr(10) || '- first ' || h || chr(10) || '- second & last'
+     || chr(10) || chr(10) || '1. one' || chr(10) || '2. two' || chr(10) || chr(10) || 'See [' || h || '](/next).' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10)) AS content_hash
+    FROM (SELECT DISTINCT url, trim('T ' || trim({_H})) AS h FROM markdown_documents WHERE url IN (SELECT url FROM markdown_documents GROUP BY url HAVING count(DISTINCT coalesce(title, '')) = 1))"""
+)
+def html_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, emphasis, lists, links, entities and tables of HTML pages made from the titles; addresses with several titles have no one page."""
+    h = F.trim(F.concat(F.lit("T "), F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("title", F.lit("")), "[^A-Za-z0-9 ]", ""), " +", " "))))
+    rows = table(spark, d, "markdown_documents", "url", "title").groupBy("url").agg(F.count_distinct(F.coalesce("title", F.lit(""))).alias("n"), F.max("title").alias("title")).filter("n = 1")
+    html = F.concat(
+        F.lit("<html><head><script>x</script></head><body><nav><a href='/'>Home</a></nav><article><h1>"), h, F.lit("</h1><p>About "), h,
+        F.lit(" and <b>more</b> of it, long enough to be the content of a page that is to be read as such.</p><ul><li>first "), h, F.lit("<li>second &amp; last</ul><ol><li>one</li><li>two</li></ol><p>See <a href='/next'>"), h,
+        F.lit("</a>.</p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table></article><footer>end</footer></body></html>"),
+    )
+    return export.documents(rows.select("url", html.alias("html"))).select("url", "content_hash")
+
+
+@query(
+    f"""SELECT start, url FROM (SELECT 'https://' || host || '/' AS start, norm AS url, scheme, origin_port, path2 FROM {q.parsed('markdown_documents', 'url')} WHERE norm IS NOT NULL GROUP BY ALL)
+    WHERE scheme = 'https' AND origin_port = 443 AND regexp_extract(lower(path2), '[^/](\\.[^./]+)$', 1) NOT IN ({q.strings(urls.SITEMAP_EXTENSIONS)}) AND NOT list_has_any(string_split(lower(path2), '/'), [{q.strings(urls.SITEMAP_PARTS)}])"""
+)
+def sitemap_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Each host's pages found through an index of an index of an index, over as many levels as there are; nothing is capped here."""
+    pages = table(spark, d, "markdown_documents", "url").select(urls.normalize(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct()
+    pages = pages.withColumn("start", F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/")))
+    starts = pages.select("start").distinct()
+    loc = lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    lists = pages.groupBy("start").agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(loc(F.col("url")))), ""), F.lit("</urlset>")).alias("xml"))
+    files = lists.select(F.concat("start", F.lit("maps/4.xml")).alias("url"), "xml")
+    for here, there in (("sitemap.xml", "maps/1.xml"), ("maps/1.xml", "maps/2.xml"), ("maps/2.xml", "maps/3.xml"), ("maps/3.xml", "maps/4.xml")):
+        xml = F.concat(F.lit("<sitemapindex><sitemap><loc>"), "start", F.lit(f"{there}</loc></sitemap></sitemapindex>"))
+        files = files.unionByName(starts.select(F.concat("start", F.lit(here)).alias("url"), xml.alias("xml")))
+    files = files.select("url", F.to_binary("xml", F.lit("utf-8")).alias("payload"))
+    listed = starts.limit(0).select("start", F.lit(0).alias("pos"), F.col("start").alias("sitemap_url"))
+    return sitemaps.discover(starts, listed, files, None, None)[0].select("start", "url")
+
+
+@query(
+    f"""SELECT state_key, arg_max(h, (batch_no, t, h)) AS state_hash, arg_max(f, (batch_no, t, h)) AS filename FROM (
+      SELECT norm AS state_key, batch_no, registered_at AS t, {q.digest_key('content_hash')} AS h, output_path AS f FROM {q.parsed('registrations', 'url')} WHERE norm IS NOT NULL AND {q.digest_key('content_hash')} IS NOT NULL AND registered_at IS NOT NULL) GROUP BY 1"""
+)
+def state_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The stored state after the batches were committed one after another: the latest of a batch, the last batch of all."""
+    store = incremental.StateStore(spark, f"{shared_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}", buckets=8)
+    rows = table(spark, d, "registrations", "batch_no", "url", "content_hash", "output_path", "registered_at")
+    rows = rows.select("batch_no", urls.normalize(F.col("url")).alias("state_key"), digest_key(F.col("content_hash")).alias("state_hash"), F.col("registered_at").cast("timestamp").alias("saved_at"), F.col("output_path").alias("filename"))
+    rows = rows.filter("state_hash IS NOT NULL AND saved_at IS NOT NULL")
+    for n in sorted(r[0] for r in rows.select("batch_no").distinct().collect()):  # one row a batch
+        store.commit(rows.filter(F.col("batch_no") == n))
+    return store.read().select("state_key", "state_hash", "filename")
+
+
 @query("SELECT DISTINCT page_id FROM content_records")
 def stream_sync(spark: SparkSession, d: str) -> DataFrame:
     """Records run through the streaming sync from an empty state: each of them is new once."""

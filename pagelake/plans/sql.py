@@ -73,3 +73,8 @@ def md_normal(c: str) -> str:
 def slug(c: str) -> str:
     s = rf"trim(regexp_replace(regexp_replace({strip(f'lower({c})')}, '[^a-z0-9._\-]+', '-', 'g'), '-{{2,}}', '-', 'g'), '-._')"
     return f"coalesce(nullif({s}, ''), 'page')"
+
+
+def plain(c: str) -> str:
+    """The letters without their marks, what isn't ASCII then left out."""
+    return rf"regexp_replace(strip_accents({c}), '[^\x00-\x7f]', '', 'g')"
